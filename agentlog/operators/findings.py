@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agentlog.config import DEFAULT, Settings
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions.lookups import label_score, legacy_type, lookup
+from agentlog.functions.plan import computed_once
 from agentlog.operators import session, signals
 
 
@@ -17,6 +18,13 @@ def judged_rows(logs: DataFrame, cfg: Settings = DEFAULT, scorer: signals.Scorer
     return decide(session.correlate_sessions(rows, cfg), cfg)
 
 
+JUDGED_COLUMNS = [
+    "log_id", "session_id", "ts", "arrival_seq", "event", "level", "subtype", "s1", "s2", "s3", "s4", "warned", "has_code",
+    "synthetic", "ml_score", "ml_label", "detail", "derived", "c_429", "context_rule_ids", "own_links", "back_links",
+    "reported", "promotion_source",
+]
+
+
 def decide(rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Signals after noise and correlation, and the promotion decision. Correlation can bring a cleared row back."""
     derived = F.col("derived").isNotNull()
@@ -27,7 +35,12 @@ def decide(rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     )
     rule_hit = F.col("s1") | F.col("s2") | F.col("s3")
     reported, source = signals.promotion(rule_hit, F.col("s4"), F.col("ml_score"), F.col("subtype"), cfg)
-    return out.withColumns({"reported": reported, "promotion_source": source})
+    comment_injection = (F.col("subtype") == "prompt_injection_attempt") & (F.col("tool") == "post_comment")
+    own = F.when(comment_injection, F.array_sort(F.array_union(F.col("links"), session.prior_comments())))
+    done = out.withColumns(
+        {"reported": reported, "promotion_source": source, "own_links": F.coalesce(own, F.col("links"))}
+    )
+    return computed_once(done, [c for c in JUDGED_COLUMNS if c in done.columns])
 
 
 def to_findings(judged: DataFrame) -> DataFrame:
@@ -35,10 +48,7 @@ def to_findings(judged: DataFrame) -> DataFrame:
     base = signals.confidence(
         F.col("s1"), F.col("s2"), F.col("s3"), F.col("s4"), F.col("level"), F.col("warned"), F.col("has_code")
     )
-    comment_injection = (F.col("subtype") == "prompt_injection_attempt") & (F.col("tool") == "post_comment")
-    links = F.when(
-        comment_injection, F.array_sort(F.array_union(F.col("links"), session.prior_comments()))
-    ).otherwise(F.col("links"))
+    links = F.col("own_links")
     back = F.col("back_links") if "back_links" in judged.columns else F.array().cast("array<string>")
     named = [F.when(F.col(s), F.lit(n)) for s, n in zip(("s1", "s2", "s3", "s4"), SIGNALS)]
     subtype = F.col("subtype")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions import jsontext as js
 from agentlog.functions.lookups import blank
+from agentlog.functions.plan import computed_once
 
 def parse_raw(df: DataFrame) -> DataFrame:
     """Add ``v VARIANT`` (NULL for text that is not JSON) and ``is_object``."""
@@ -468,9 +469,8 @@ def normalize_all(df: DataFrame, strict: bool = False, carry: list[str] | None =
     extra = ["raw", "protocol_in", "errors", *(carry or [])]
     keep = ["arrival_seq", *extra]
     flat = rows.select(*keep, *[c.alias(n) for n, c in columns.items()])
-    return flat.withColumn(
-        "text_for_embedding", F.when(is_mcp, mcp_text()).when(is_a2a, a2a_text())
-    ).select(*[F.col(c).cast(t).alias(c) for c, t in LOG_COLUMNS.items()], *extra)
+    full = flat.withColumn("text_for_embedding", F.when(is_mcp, mcp_text()).when(is_a2a, a2a_text()))
+    return computed_once(full.select(*[F.col(c).cast(t).alias(c) for c, t in LOG_COLUMNS.items()], *extra))
 
 
 def normalize(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -244,3 +244,140 @@ def a2a_logs(conversations: DataFrame) -> DataFrame:
         F.lit("").alias("response_content"),
     )
     return as_logs(cols.withColumn("text_for_embedding", a2a_text()))
+
+
+# --- raw JSON records -------------------------------------------------------------------------------------------------
+
+RAW_VARIANTS = 20  # event_id % 20 chooses the form of the record, see raw_records
+
+
+def _quoted(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+
+
+def _member(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), value.cast("string"))
+
+
+def _object(*members: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
+def raw_events(events: DataFrame) -> DataFrame:
+    """Typed columns of the raw records: ``event_rows`` with the fields feature extraction looks at."""
+    k = F.col("k")
+    late = (F.col("kind") == "error") & (k % 9 == 0)
+    return event_rows(events).withColumns(
+        {
+            "variant": F.col("event_id") % RAW_VARIANTS,
+            "event": F.when(late, "UPSTREAM_TIMEOUT").otherwise(F.col("event")),
+            "triggered_by": F.when(k % 4 == 0, "agent step"),
+            "recommendation": F.when(k % 5 == 0, "retry later"),
+            "status": F.when(k % 6 == 0, "404").when(k % 6 == 1, '"404"'),
+            "timeout_ms": F.when(k % 9 == 0, "3000"),
+            "latency_json": F.when(k % 11 == 0, "12.5").otherwise(F.col("latency_ms").cast("string")),
+            "iso": F.concat(
+                F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                F.date_format(F.col("ts").cast("timestamp"), "XXX"),
+            ),
+            "raw_log_id": uuid_of(3, F.col("event_id")),
+        }
+    )
+
+
+def raw_records(events: DataFrame) -> DataFrame:
+    """Raw MCP records as JSON text with ``arrival_seq``: mostly notifications, some of every other form.
+
+    12 no id, 13 envelope, 14 legacy, 15 blank message, 16 unknown key, 17 unknown level, 18 label contradicts type,
+    19 no stated protocol.
+    """
+    rows = raw_events(events)
+    v = F.col("variant")
+    meta = _object(
+        _quoted("tool", F.col("tool")),
+        _quoted("triggered_by", F.col("triggered_by")),
+        _quoted("recommendation", F.col("recommendation")),
+        _member("status", F.col("status")),
+        _member("timeout_ms", F.col("timeout_ms")),
+        _member("latency_ms", F.col("latency_json")),
+        _member("payload_size_kb", F.col("value")),
+        _member("arguments", F.coalesce("args", F.lit("{}"))),
+    )
+    message = F.when(v == 15, "  ").otherwise(F.col("message"))
+    level = F.when(v == 17, "fatal").otherwise(F.col("level"))
+    data = _object(
+        _quoted("timestamp", F.col("iso")),
+        _quoted("event", F.col("event")),
+        _quoted("message", message),
+        _member("meta", meta),
+    )
+    params = _object(_quoted("level", level), _quoted("logger", F.col("agent_id")), _member("data", data))
+    session = _object(_quoted("id", F.col("session_id")), F.lit('"host":"h","transport":"stdio"'))
+    rpc = F.lit('"jsonrpc":"2.0","method":"notifications/message"')
+    with_id = F.when(v != 12, _quoted("log_id", F.col("raw_log_id")))
+    notification = _object(
+        with_id,
+        F.when(v != 19, F.lit('"protocol":"MCP"')),
+        _member("session", session),
+        rpc,
+        _member("params", params),
+        F.when(v == 16, F.lit('"surprise":1')),
+        F.when(v == 18, F.lit('"is_anomaly":false,"anomaly_type":"TOOL_HALLUCINATION"')),
+    )
+    log = _object(rpc, _member("params", params))
+    first = _object(rpc, F.lit('"params":{"level":"info"}'))
+    envelope = _object(
+        with_id, _member("session", session), F.concat(F.lit('"logs":['), first, F.lit(","), log, F.lit("]"))
+    )
+    legacy = _object(
+        with_id,
+        F.lit('"protocol":"MCP"'),
+        _quoted("timestamp", F.col("iso")),
+        _quoted("session_id", F.col("session_id")),
+        F.when(F.col("k") % 2 == 0, _quoted("agent_id", F.col("agent_id"))),
+        _quoted("tool_name", F.col("tool")),
+        _quoted("reasoning_step", F.col("message")),
+        _quoted("intent", F.col("kind")),
+        _quoted("response_status", F.when(F.col("k") % 3 == 0, "TIMEOUT").otherwise("success")),
+        _member("latency_ms", F.col("latency_ms")),
+        _member("context_window_tokens", F.col("k") * 100),
+    )
+    raw = F.when(v == 13, envelope).when(v == 14, legacy).otherwise(notification)
+    return rows.withColumns({"raw": raw, "arrival_seq": F.col("event_id")})
+
+
+def raw_messages(conversations: DataFrame) -> DataFrame:
+    """Raw A2A records as JSON text; conv_id + turn decides what is wrong with a record, if anything."""
+    rows = message_rows(conversations)
+    form = (F.col("conv_id") + F.col("turn")) % 9
+    record = F.struct(
+        "log_id",
+        F.lit("A2A").alias("protocol"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "XXX")).alias("timestamp"),
+        F.when(form == 1, "not-a-uuid").otherwise(F.col("session_id")).alias("session_id"),
+        "source_agent",
+        F.when(form == 2, " ").otherwise(F.col("target_agent")).alias("target_agent"),
+        F.when(form == 3, 7).otherwise(F.col("delegation_depth")).alias("delegation_depth"),
+        F.when(form != 4, F.array_repeat("source_agent", (F.col("delegation_depth") + 1).cast("int"))).alias(
+            "delegation_chain"
+        ),
+        "message_type",
+        F.col("text").alias("message_content"),
+        "task_intent",
+        F.when(form == 5, "unknown").otherwise(F.col("response_status")).alias("response_status"),
+        F.when(form == 6, -1).otherwise(F.col("latency_ms")).alias("latency_ms"),
+    )
+    return rows.withColumns({"form": form, "raw": F.to_json(record)})
+
+
+def answer_key(events: DataFrame) -> DataFrame:
+    """An answer key for ``agent_logs``: error events and clicks with an injection are the expected anomalies."""
+    rows = event_rows(events)
+    expected = (F.col("kind") == "error") | ((F.col("kind") == "click") & (F.col("k") % 12).isin(1, 2, 3, 11))
+    return rows.select(
+        "log_id",
+        "session_id",
+        F.when(expected, "anomaly").otherwise("normal").alias("label"),
+        F.when(expected, F.col("kind")).otherwise("").alias("anomaly_type"),
+        F.when(F.col("kind") == "error", "REGISTRY_OVERFLOW").alias("expected_type"),
+    )
