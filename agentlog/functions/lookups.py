@@ -104,10 +104,24 @@ def recommended_action(subtype: Column) -> Column:
 
 def dup_ngram_ratio(text: Column, n: int = 3, min_words: int = 8) -> Column:
     """Share of repeated word n-grams; 0 for fewer than min_words words."""
+
+    def join(a: Column, b: Column) -> Column:
+        return F.concat_ws(" ", a, b)
+
+    def ratio(words: Column) -> Column:
+        # n shifted copies of the list, joined position by position: linear in the number of words.
+        length = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.slice(words, F.lit(1), length)
+        for shift in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(words, F.lit(shift), length), join)
+        return F.when(F.size(words) < min_words, F.lit(0.0)).otherwise(
+            F.element_at(F.transform(F.array(grams), _repeated_share), 1)
+        )
+
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda i: F.concat_ws(" ", F.slice(words, i, n)),
-    )
-    ratio = F.lit(1.0) - F.size(F.array_distinct(grams)) / F.size(grams)
-    return F.when(F.size(words) < min_words, F.lit(0.0)).otherwise(ratio)
+    # The one-element transforms name an array, so that it is built once and not at each mention.
+    return F.element_at(F.transform(F.array(words), ratio), 1)
+
+
+def _repeated_share(grams: Column) -> Column:
+    return F.lit(1.0) - F.size(F.array_distinct(grams)) / F.size(grams)

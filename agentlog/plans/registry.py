@@ -137,9 +137,8 @@ def session_batches(spark, sf):
         .otherwise('{"nothing":[]}')
     )
     elements = jsonl.explode_batch(rows.select(F.col("event_id").alias("batch_id"), batch.alias("raw")))
-    good, errors = jsonl.batch_logs(elements)
-    ok = good.select("batch_id", F.col("arrival_seq").alias("index"), F.lit("ok").alias("outcome"))
-    return ok.unionByName(errors.withColumnRenamed("error", "outcome"))
+    rows = jsonl.batch_rows(elements)
+    return rows.select("batch_id", F.col("arrival_seq").alias("index"), F.coalesce("error", F.lit("ok")).alias("outcome"))
 
 
 @query(
@@ -1087,9 +1086,9 @@ def delegation_edges(spark, sf):
 
 @query(
     "WITH RECURSIVE " + ",\n".join([o.CONV, _DELEG, """
-      walk AS (SELECT log_id, log_id AS at, 0 AS hops FROM conv
-        UNION ALL SELECT w.log_id, d.src, w.hops + 1 FROM walk w JOIN deleg d ON d.dst = w.at WHERE w.hops < 5)"""])
-    + " SELECT log_id, hops, at AS ancestor FROM walk WHERE hops > 0"
+      walk AS (SELECT log_id, log_id AS node, 0 AS hops FROM conv
+        UNION ALL SELECT w.log_id, d.src, w.hops + 1 FROM walk w JOIN deleg d ON d.dst = w.node WHERE w.hops < 5)"""])
+    + " SELECT log_id, hops, node AS ancestor FROM walk WHERE hops > 0"
 )
 def delegation_trace(spark, sf):
     logs = _messages(spark, sf)

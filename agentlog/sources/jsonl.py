@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlog.functions import jsontext as js
+from agentlog.functions.plan import computed_once
 from agentlog.operators.normalize import normalize_all
 
 LOGS_ONLY_MCP = "Only MCP logs are supported by this endpoint"
@@ -90,7 +91,7 @@ def explode_batch(batches: DataFrame) -> DataFrame:
     # Elements keep their own text, so that key order survives.
     size = F.size(F.from_json("_list", "array<variant>"))
     path = lambda i: F.concat(F.lit("$["), i.cast("string"), F.lit("]"))
-    return (
+    return computed_once(
         batches.select("batch_id", listed.alias("_list"))
         .where(F.col("_list").isNotNull())
         .withColumn("_n", size)
@@ -100,13 +101,16 @@ def explode_batch(batches: DataFrame) -> DataFrame:
     )
 
 
+def batch_rows(elements: DataFrame) -> DataFrame:
+    """Exploded batch elements as normalized logs with ``batch_id`` and ``error``, NULL for usable MCP logs."""
+    rows = normalize_all(elements.withColumn("arrival_seq", F.col("index").cast("bigint")), carry=["batch_id"])
+    failed = F.when(F.size("errors") > 0, F.substring(F.array_join("errors", "; "), 1, 280))
+    other = F.when(F.col("protocol") != "MCP", LOGS_ONLY_MCP)
+    return rows.withColumn("error", F.coalesce(failed, other)).drop("raw", "protocol_in", "errors")
+
+
 def batch_logs(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(normalized MCP logs with ``batch_id``, errors ``batch_id, index, error``) of exploded batches."""
-    rows = normalize_all(elements.withColumn("arrival_seq", F.col("index").cast("bigint")), carry=["batch_id"])
-    other = (F.size("errors") == 0) & (F.col("protocol") != "MCP")
-    error = F.when(other, LOGS_ONLY_MCP).otherwise(F.substring(F.array_join("errors", "; "), 1, 280))
-    errors = rows.where((F.size("errors") > 0) | other).select(
-        "batch_id", F.col("arrival_seq").alias("index"), error.alias("error")
-    )
-    good = rows.where((F.size("errors") == 0) & (F.col("protocol") == "MCP"))
-    return good.drop("raw", "protocol_in", "errors"), errors
+    rows = batch_rows(elements)
+    errors = rows.where(F.col("error").isNotNull()).select("batch_id", F.col("arrival_seq").alias("index"), "error")
+    return rows.where(F.col("error").isNull()).drop("error"), errors

@@ -86,7 +86,8 @@ def main(argv):
     sqls = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():
-        if argv and name not in argv and not (argv[0] == "--from" and started(name, argv)):
+        wanted = started(name, argv) if argv[:1] == ["--from"] else not argv or name in argv
+        if not wanted:
             continue
         t = time.time()
         watch = threading.Timer(60, spark.sparkContext.cancelAllJobs)
