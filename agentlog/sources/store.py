@@ -32,7 +32,9 @@ def load_processed(spark: SparkSession, path: str) -> DataFrame:
 
 def current_rows(spark: SparkSession, path: str) -> DataFrame:
     """Current rows in no order, for further processing."""
-    return last_write(spark.read.parquet(path), order=("batch", "arrival_seq"))
+    rows = spark.read.parquet(path)
+    # Directory names come back as text.
+    return last_write(rows.withColumn("is_anomaly", F.col("is_anomaly").cast("boolean")), order=("batch", "arrival_seq"))
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
