@@ -57,6 +57,4 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Above this size the JVM would interpret the generated code of the wide rule projections instead of compiling it.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
