@@ -729,25 +729,25 @@ def vectorized_text(spark, sf):
 
 
 def _scored_logs(spark, sf) -> DataFrame:
-    """Logs with the score of the vector their event id points to."""
+    """Logs with the score of the vector their event id points to, over all vectors."""
     v = ft.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
     base = v.where(F.col("id").cast("int") % 2 == 0)
-    queries = v.where(F.col("id").cast("int") < 500)
-    scores = ve.anomaly_score(queries, base).select("id", F.round(F.col("score") * 1.35, 6).alias("score"))
-    logs = _logs(spark, sf).withColumn("id", (F.col("arrival_seq") % 500).cast("string"))
-    return logs.join(F.broadcast(scores), "id").drop("id")  # 500 rows, whatever the scale
+    scores = ve.anomaly_score(v, base).select("id", F.round(F.col("score") * 1.35, 6).alias("score"))
+    n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
+    logs = _logs(spark, sf).withColumn("id", (F.col("arrival_seq") % n).cast("string"))
+    return logs.join(scores, "id").drop("id")
 
 
 _SCORES = """
 vec AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 vs AS (SELECT q.vec_id, round(greatest(0, least(2, min(1 - list_dot_product(q.e, b.e) / (q.n * b.n)))) * 1.35, 6) AS score
-  FROM vec q JOIN vec b ON q.vec_id < 500 AND b.vec_id % 2 = 0 GROUP BY 1)"""
+  FROM vec q JOIN vec b ON b.vec_id % 2 = 0 GROUP BY 1)"""
 
 _DET = f"""
 det0 AS (
   SELECT l.*, vs.score, event IN ({o._list(fixed.ANOMALY_TYPES)}) OR {o._contains_any("lower(message)", fixed.BAD_TEXT_TOKENS)} AS bad,
     event IN ({o._list(fixed.BENIGN_EVENTS)}) AS benign_event
-  FROM rows_ l JOIN vs ON vs.vec_id = l.event_id % 500),
+  FROM rows_ l JOIN vs ON vs.vec_id = l.event_id % (SELECT count(*) FROM embeddings)),
 det AS (
   SELECT *, NOT bad AND benign_event AS benign,
     CASE WHEN bad THEN 0.2 WHEN benign_event THEN 0.99 WHEN level IN ('info', 'debug') THEN 0.98

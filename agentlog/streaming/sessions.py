@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from agentlog.config import DEFAULT, Settings
-from agentlog.functions import dictionaries as fixed
 from agentlog.operators import detect as dt
 from agentlog.operators import findings as fd
 from agentlog.operators import session, signals
@@ -39,7 +38,6 @@ def with_session_state(
     plain = [c for c in tagged.columns if c != "_record"]
     schema = ", ".join(f"`{c}` {tagged.schema[c].dataType.simpleString()}" for c in plain)
     out_schema = f"{schema}, w {session.WINDOW_SCHEMA}, prev {_PREV}"
-    key_at = plain.index("session_id")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
 
@@ -64,12 +62,11 @@ def with_session_state(
         state.update(([tuple(r[f] for f in _FIELDS) for r in recent], *latest))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        out = pdf[[c for c in plain]].copy()
+        out = pdf[plain].copy()
         out["w"] = windows
         out["prev"] = previous
         yield out
 
-    del key_at
     return (
         tagged.withColumn("_us", F.unix_micros("ts"))
         .groupBy("session_id")
@@ -119,6 +116,3 @@ def upsert_stream(processed: DataFrame, path: str, checkpoint: str):
         .start()
     )
 
-
-def only_mcp(logs: DataFrame) -> DataFrame:
-    return logs.where(F.col("protocol") == fixed.MCP)
