@@ -84,11 +84,12 @@ def is_present(v: Column) -> Column:
 
 def text_of(v: Column) -> Column:
     """A scalar as display text: ``None``, ``True``/``False``, else its own text. NULL stays NULL."""
-    k = kind(v)
+    text = v.cast("string")
     return (
-        F.when(k == "VOID", "None")
-        .when(k == "BOOLEAN", F.initcap(v.cast("string")))
-        .otherwise(v.cast("string"))
+        F.when(v.isNull(), F.lit(None).cast("string"))
+        .when(text.isNull(), "None")
+        .when(text.isin("true", "false") & ~is_string(v), F.initcap(text))
+        .otherwise(text)
     )
 
 

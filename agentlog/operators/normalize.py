@@ -362,20 +362,29 @@ def context_summary(message: Column, triggered_by: Column, recommendation: Colum
 def extract_mcp(df: DataFrame) -> DataFrame:
     """Add struct ``f`` of the flattened MCP features to rows with ``m`` and ``meta``."""
     meta = F.col("meta")
-    event, message, level = F.trim("m.event"), F.trim("m.message"), F.col("m.level")
-    triggered_by = _meta_text("triggered_by")
+    # Texts that several features share are a column of their own, so that each is read from the record once.
+    texts = _for_protocol(
+        fixed.MCP,
+        F.trim("m.event").alias("event"),
+        F.trim("m.message").alias("message"),
+        _meta_text("tool").alias("tool"),
+        _meta_text("triggered_by").alias("triggered_by"),
+        _meta_text("recommendation").alias("recommendation"),
+    )
+    event, message, level = F.col("t.event"), F.col("t.message"), F.col("m.level")
+    triggered_by = F.col("t.triggered_by")
     latency = js.variant_at(meta, "$.latency_ms")
     kb = js.variant_at(meta, "$.payload_size_kb")
     tokens = F.when(js.is_number(kb), (kb.cast("double") * 1024 / 4).cast("bigint"))
     arguments = js.variant_at(meta, "$.arguments")
     whole = F.when(js.is_integer(latency), latency.cast("bigint"))
     features = {
-        "tool_name": _meta_text("tool"),
+        "tool_name": F.col("t.tool"),
         "tool_parameters": F.when(js.is_object(arguments), js.json_at(F.col("m.meta_raw"), "$.arguments")).otherwise("{}"),
         "reasoning_step": message,
         "intent": F.coalesce(F.nullif(triggered_by, F.lit("")), event),
         "context_window_tokens": F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint"),
-        "context_summary": context_summary(message, triggered_by, _meta_text("recommendation")),
+        "context_summary": context_summary(message, triggered_by, F.col("t.recommendation")),
         "response_status": response_status(level, event, meta),
         "response_payload": F.coalesce(F.col("m.meta_raw"), F.lit("{}")),
         "latency_ms": F.greatest(F.coalesce(whole, F.lit(0)), F.lit(0)).cast("bigint"),
@@ -383,7 +392,8 @@ def extract_mcp(df: DataFrame) -> DataFrame:
         "logger": F.col("m.logger"),
         "level": level,
     }
-    return df.withColumn("f", _for_protocol(fixed.MCP, *[c.alias(n) for n, c in features.items()]))
+    rows = df.withColumn("t", texts)
+    return rows.withColumn("f", _for_protocol(fixed.MCP, *[c.alias(n) for n, c in features.items()]))
 
 
 def _joined(*names: str) -> Column:
