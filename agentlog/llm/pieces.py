@@ -13,6 +13,10 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +31,6 @@ class Codec:
     """
 
     def __init__(self, model: bytes):
-        import ahocorasick
-        import sentencepiece
-
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(size)]
@@ -166,10 +167,7 @@ def encoder(df: DataFrame, model_path: str) -> Column:
         model = df.sparkSession.sparkContext.broadcast({"bytes": f.read()})
 
     @F.arrow_udf("ids array<int>, decoded string")
-    def encode(batches: Iterator["pa.Array"]) -> Iterator["pa.Array"]:  # noqa: F821
-        import numpy as np
-        import pyarrow as pa
-
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = model.value  # a worker's own copy, which outlives the task
         codec = kept["codec"] = kept.get("codec") or Codec(kept["bytes"])
         for texts in batches:
