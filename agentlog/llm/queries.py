@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agentlog.llm import exact, pieces
+from agentlog.llm import exact, mixture, pieces
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", *pieces.digests(encoded))
+
+
+@query()
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken_words(mixture.plan_mix(table(spark, sf_dir, "documents")))
