@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agentlog.llm import exact, mixture, pieces
+from agentlog.llm import exact, langid, minhash, mixture, pieces
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +49,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken_words(mixture.plan_mix(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.is_held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
