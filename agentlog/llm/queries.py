@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, langid, minhash, mixture, pieces
+from agentlog.llm import exact, langid, minhash, mixture, pieces, urls
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,32 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.is_held_out(F.col("doc_id")))
     model = langid.fit(docs.where("NOT held_out"))
     return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+_RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{a}')" for r, a in RULES)
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, coalesce(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1) AS q, url LIKE '%://%' AS has FROM pages),
+       k AS (SELECT page_id, host, path, CASE WHEN has THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '')
+         || coalesce('?' || nullif(list_aggregate(list_filter(string_split(q, '&'), lambda x: NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=')), 'string_agg', '&'), ''), '') END AS canonical FROM u),
+       l AS (SELECT canonical FROM k WHERE canonical IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+       r(rh, rp, rule, action) AS (VALUES {_RULE_ROWS}),
+       m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+         FROM k JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+       SELECT page_id, host, path, rule, coalesce(action, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+       FROM k LEFT JOIN m USING (page_id) LEFT JOIN l ON k.canonical = l.canonical"""
+)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the addresses that more than one page has."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, urls.repeated_urls(pages), RULES).drop("url")
