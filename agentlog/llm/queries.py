@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, langid, minhash, mixture, pieces, urls
+from agentlog.llm import exact, fingerprint, langid, minhash, mixture, pieces, urls
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the addresses that more than one page has."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, urls.repeated_urls(pages), RULES).drop("url")
+
+
+@query()
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_alike(fingerprint.fingerprints(table(spark, sf_dir, "documents")))
