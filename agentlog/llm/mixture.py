@@ -149,7 +149,8 @@ def _slots(targets: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     step = F.lit(SLOTS_AT_ONCE)
     # Two generators in a row, dealt out between them, so that no array and no task holds a source's slots.
     starts = sources.where("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, step)))
-    starts = starts.repartition("place", "from")
+    partitions = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = starts.repartition(partitions, "place", "from")
     j = starts.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("slots")) - 1)))
     j = j.withColumn("block", shuffled_index(F.pmod("j", n), n, "block"))
     j = j.withColumn("place", shuffled_index(F.col("offset") + F.col("j"), F.col("all_slots"), "output"))

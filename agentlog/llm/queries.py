@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, fingerprint, langid, minhash, mixture, pieces, urls
+from agentlog.llm import exact, fingerprint, langid, minhash, mixture, pieces, sharding, urls
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,20 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_alike(fingerprint.fingerprints(table(spark, sf_dir, "documents")))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+       n AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs,
+         sum(n_bytes) <= {SHARD_BYTES} OR min(h) = max(h) AS fits FROM h CROSS JOIN (SELECT unnest(range(0, 61)) AS depth) GROUP BY 1, 2),
+       l AS (SELECT n.* FROM n LEFT JOIN n AS a ON a.depth = n.depth - 1 AND a.prefix = n.prefix >> 1 WHERE n.fits AND NOT coalesce(a.fits, false))
+       SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INTEGER, '0') END AS shard, shard_bytes, shard_docs
+       FROM h JOIN l ON h >> (60 - depth) = prefix"""
+)
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shards(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_bytes", "shard_docs")
