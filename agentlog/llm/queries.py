@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, fingerprint, langid, minhash, mixture, pieces, sharding, urls
+from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, sharding, urls
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,18 @@ SHARD_BYTES = 1 << 20
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shards(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_bytes", "shard_docs")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+       w AS (SELECT doc_id, i, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS w FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+       later AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS place FROM w WHERE w IS NOT NULL AND regexp_matches(w, '[^ \\t-\\r]')),
+       gone AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM later WHERE place > 1),
+       kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+       n AS (SELECT doc_id, count(*)::INTEGER AS removed_lines FROM gone GROUP BY 1)
+       SELECT d.doc_id, coalesce(n.removed_lines, 0) AS removed_lines, sha256(coalesce(kept.text, '')) AS text_sha256
+       FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linewindows.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
