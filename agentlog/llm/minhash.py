@@ -211,3 +211,21 @@ def near_duplicates(
     )
     none = banded.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, all columns as they were. Rows of a doc_id that goes all go.
+
+    Only ids of documents that go are joined: a Bloom filter lets rows that aren't among them pass without a shuffle.
+    """
+    judged = near_duplicates(docs, doc_id, text, words, percent)
+    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = gone.withColumn("_key", F.xxhash64("_gone"))
+    key, maybe = fresh(docs, "_key"), fresh(docs, "_maybe")
+    bits = bloom.filter_bits(gone.count())
+    keyed = docs.withColumn(key, F.xxhash64(doc_id))
+    marked = bloom.mark(keyed, key, bloom.build(gone, "_key", bits), bits, maybe)
+    left = marked.where(maybe).join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(left.select(*docs.columns))
