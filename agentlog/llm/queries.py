@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, sharding, urls
+from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, sharding, urls
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linewindows.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="a key of the data's owner")
