@@ -25,16 +25,13 @@ class Settings:
     # Session window length in rows.
     window_rows: int = 10
 
-    # Longest argument text searched for a block repeated three times; None searches all of it.
-    repeat_scan_chars: int | None = None
-
     # A key (session, score range, ...) with at least hot_key_rows rows is cut into hot_key_chunks
     # ordered chunks, so that no single task has to sort it. At most rows / hot_key_rows keys can be
     # hot, which bounds what the split broadcasts. None switches the split off.
     hot_key_rows: int | None = 20_000_000
     hot_key_chunks: int = 1024
 
-    # A baseline above this size is searched through shuffled cells instead of a broadcast matrix.
+    # A baseline above this size is searched in shuffled tiles instead of a broadcast matrix.
     baseline_broadcast_bytes: int = 256 * 1024 * 1024
 
     def __post_init__(self) -> None:

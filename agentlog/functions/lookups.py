@@ -25,8 +25,17 @@ def any_contains(text: Column, tokens: Iterable[str]) -> Column:
     return hit
 
 
+# The white space of Unicode, with the four ASCII separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column | str) -> Column:
+    """The text without white space at its ends."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text) == "", F.lit(True))
+    return F.coalesce(stripped(text) == "", F.lit(True))
 
 
 def nonblank_or(text: Column, *others: Column) -> Column:
@@ -60,11 +69,14 @@ def _literals(alternative: str) -> list[str]:
 
 
 def search(text: Column, pattern: str) -> Column:
-    """Case-insensitive search of a lower-case pattern in ``folded`` text; ``.`` stops at a line feed only.
+    """Case-insensitive search of a lower-case pattern in ``folded`` text; ``.`` stops at a line feed only and classes
+    are those of Unicode. Patterns may use groups, classes, ``* + ?`` and escapes, but no counted repeats.
 
     Plain phrases become substring tests, and each remaining expression runs only on rows that hold its longest plain
     part, which is far cheaper than a case-insensitive regular expression on every row.
     """
+    if re.search(r"(?<!\\)[{}]|\(\?", pattern):
+        raise ValueError(f"unsupported pattern: {pattern}")
     hit = None
     for alternative in _alternatives(pattern):
         literals = _literals(alternative)
@@ -72,7 +84,7 @@ def search(text: Column, pattern: str) -> Column:
         if literals and literals[0] == unescaped:
             test = text.contains(unescaped)
         else:
-            test = text.rlike("(?d)" + alternative)
+            test = text.rlike("(?dU)" + alternative)
             if literals:
                 test = text.contains(literals[0]) & test
         hit = test if hit is None else hit | test

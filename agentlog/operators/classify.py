@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions import jsontext as js
-from agentlog.functions.lookups import any_contains, dup_ngram_ratio, intent_domain, nonblank_or, tool_domain
+from agentlog.functions.lookups import any_contains, dup_ngram_ratio, intent_domain, nonblank_or, stripped, tool_domain
 
 _HALLUCINATION, _POISONING, _OVERFLOW, _DELEGATION = fixed.ANOMALY_TYPES
 
@@ -25,7 +25,7 @@ def _truthy(v: Column) -> Column:
 def classify_rules() -> Column:
     """Anomaly type by the first rule that applies, NULL when none does. Reads the columns of a normalized log."""
     is_mcp = F.col("protocol") == fixed.MCP
-    tool, status = F.trim(_text("tool_name")), F.lower(_text("response_status"))
+    tool, status = stripped(_text("tool_name")), F.lower(_text("response_status"))
     event, level = F.upper(_text("event")), F.lower(_text("level"))
     payload = F.when(is_mcp, F.coalesce("response_payload", F.lit("{}"))).otherwise("{}")
     meta = F.try_parse_json(payload)

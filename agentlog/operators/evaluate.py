@@ -303,10 +303,10 @@ def latency_percentiles(
         return picked.select(by, *[F.element_at("_p", i + 1).cast("double").alias(n) for i, n in enumerate(names)])
     known = df.where(F.col(column).isNotNull())
     counts = known.groupBy(by, F.col(column).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = counts.withColumn("_key", F.coalesce(F.col(by).cast("string"), F.lit("")))
+    # A key that NULL has too, and that no value shares with it.
+    keyed = counts.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")))
     ranked = running_before(keyed, "_key", "_x", F.col("_n"), "_before", "sum", cfg)
-    sizes = known.groupBy(by).agg(F.count(F.lit(1)).alias("_total"))
-    rows = ranked.join(sizes, by)
+    rows = ranked.join(keyed.groupBy("_key").agg(F.sum("_n").alias("_total")), "_key")
     out = []
     for name, q in names.items():
         position = F.lit(q) * (F.col("_total") - 1)

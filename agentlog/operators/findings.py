@@ -121,7 +121,7 @@ def _summary_rows(logs: DataFrame, cfg: Settings, scorer: signals.Scorer | None)
         F.when(F.col("reported"), n_signals).alias("n_signals"),
         F.when(F.col("reported"), "promoted").otherwise(F.col("promotion_source")).alias("policy"),
     )
-    other = logs.where(F.col("protocol") != fixed.MCP).select(
+    other = logs.where(~F.col("protocol").eqNullSafe(fixed.MCP)).select(
         "session_id",
         "arrival_seq",
         "log_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agentlog.config import DEFAULT, Settings
 from agentlog.functions import dictionaries as fixed
-from agentlog.functions.lookups import blank, nonblank_or
+from agentlog.functions.lookups import blank, nonblank_or, stripped
 from agentlog.operators.session import lag_ms, previous_in_session
 
 CAUSAL_TYPES = ["CAUSED_BY", "SEQUENTIAL_CAUSAL_HINT"]
@@ -121,7 +121,7 @@ def causal_edges(linked: DataFrame) -> DataFrame:
 
 def delegation_edges(linked: DataFrame) -> DataFrame:
     """From the previous log to an A2A log sent to another agent."""
-    source, target = F.trim("source_agent"), F.trim("target_agent")
+    source, target = stripped("source_agent"), stripped("target_agent")
     passed = ~blank(source) & ~blank(target) & (source != target)
     return linked.where((F.col("protocol") == fixed.A2A) & F.col("prev").isNotNull() & passed).select(
         F.col("prev.log_id").alias("src"), F.col("log_id").alias("dst"), F.lit("DELEGATED_TO").alias("type")

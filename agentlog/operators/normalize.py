@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions import jsontext as js
-from agentlog.functions.lookups import blank
+from agentlog.functions.lookups import blank, stripped
 from agentlog.functions.plan import computed_once
 
 def parse_raw(df: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _timestamp(v: Column) -> Column:
 
 def _uuid(v: Column) -> Column:
     """Canonical lower-case form, NULL when the value is not a UUID."""
-    bare = F.regexp_replace(F.lower(F.trim(v.cast("string"))), r"^urn:uuid:|[{}-]", "")
+    bare = F.regexp_replace(F.lower(stripped(v.cast("string"))), r"^urn:uuid:|[{}-]", "")
     parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     dashed = F.concat_ws("-", *[F.substring(bare, a, n) for a, n in parts])
     return F.when(js.is_string(v) & bare.rlike("^[0-9a-f]{32}$"), dashed)
@@ -342,7 +342,7 @@ def a2a_errors(strict: bool = False) -> Column:
 
 def _meta_text(name: str) -> Column:
     """A metadata field as trimmed text, empty when missing."""
-    return F.trim(F.coalesce(js.text_of(js.variant_at(F.col("meta"), "$." + name)), F.lit("")))
+    return stripped(F.coalesce(js.text_of(js.variant_at(F.col("meta"), "$." + name)), F.lit("")))
 
 
 def response_status(level: Column, event: Column, meta: Column) -> Column:
@@ -355,7 +355,7 @@ def response_status(level: Column, event: Column, meta: Column) -> Column:
 
 def context_summary(message: Column, triggered_by: Column, recommendation: Column) -> Column:
     """The non-empty parts joined, or n/a."""
-    joined = F.trim(F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in (message, triggered_by, recommendation)]))
+    joined = stripped(F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in (message, triggered_by, recommendation)]))
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("n/a"))
 
 
@@ -365,8 +365,8 @@ def extract_mcp(df: DataFrame) -> DataFrame:
     # Texts that several features share are a column of their own, so that each is read from the record once.
     texts = _for_protocol(
         fixed.MCP,
-        F.trim("m.event").alias("event"),
-        F.trim("m.message").alias("message"),
+        stripped("m.event").alias("event"),
+        stripped("m.message").alias("message"),
         _meta_text("tool").alias("tool"),
         _meta_text("triggered_by").alias("triggered_by"),
         _meta_text("recommendation").alias("recommendation"),

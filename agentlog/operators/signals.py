@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from agentlog.config import DEFAULT, Settings
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions import jsontext as js
-from agentlog.functions.lookups import any_contains, folded, lookup, nonblank_or, recommended_action, search
+from agentlog.functions.lookups import any_contains, folded, lookup, nonblank_or, recommended_action, search, stripped
+from agentlog.functions.repeats import repeats_three_times
 
 
 def signal_rows(logs: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def signal_rows(logs: DataFrame) -> DataFrame:
         "event",
         "level",
         "message",
-        F.trim(nonblank_or(F.col("tool_name"), tool, F.lit(""))).alias("tool"),
+        stripped(nonblank_or(F.col("tool_name"), tool, F.lit(""))).alias("tool"),
         F.when(has_request, request_text).otherwise("").alias("request_id"),
         js.int_or_zero(m, "$.http_status").alias("http_status"),
         js.int_or_zero(m, "$.used").alias("used"),
@@ -109,7 +110,7 @@ def rule_matches(text: Column, event: Column) -> Column:
 # --- signal 4 ---------------------------------------------------------------------------------------------------------
 
 
-def signal_args(tool: Column, args_raw: Column, args: Column, repeat_scan_chars: int | None = None) -> Column:
+def signal_args(tool: Column, args_raw: Column, args: Column) -> Column:
     """Subtype suggested by the call arguments, NULL when there is none. First check that applies wins."""
 
     def value(name: str) -> Column:
@@ -118,15 +119,12 @@ def signal_args(tool: Column, args_raw: Column, args: Column, repeat_scan_chars:
     args_text = F.lower(js.json_text(args_raw))
     file_key = F.lower(value("file_key"))
     node_id = value("node_id")
-    values = F.map_values(F.from_json(args_raw, "map<string,string>"))
-    is_text = F.map_values(F.transform_values(args.cast("map<string,variant>"), lambda _, v: js.is_string(v)))
-    over = lambda s, t: t & (F.length(s) > fixed.LONG_ARGUMENT_CHARS)
+    over = lambda v: js.is_string(v) & (F.length(v.cast("string")) > fixed.LONG_ARGUMENT_CHARS)
     long_value = (F.length(args_raw) > fixed.LONG_ARGUMENT_CHARS) & F.exists(
-        F.zip_with(values, is_text, over), lambda b: F.coalesce(b, F.lit(False))
+        F.map_values(args.cast("map<string,variant>")), lambda v: F.coalesce(over(v), F.lit(False))
     )
-    scanned = args_text if repeat_scan_chars is None else F.substring(args_text, 1, repeat_scan_chars)
     # The shortest text that can repeat a block of eight three times has 24 characters plus braces.
-    repeated = (F.length(args_text) >= 26) & scanned.rlike("(?iud)" + fixed.REPEAT_PATTERN)
+    repeated = (F.length(args_text) >= 26) & repeats_three_times(args_text, fixed.REPEAT_PATTERN)
     return F.when(
         args_raw.isNotNull() & (args_raw != "{}"),
         F.coalesce(
@@ -189,7 +187,7 @@ def row_signals(rows: DataFrame, cfg: Settings = DEFAULT, scorer: Scorer | None
         {
             "matches": rule_matches(F.col("text"), event),
             "by_event": by_event,
-            "by_args": signal_args(F.col("tool"), F.col("args_raw"), F.col("args"), cfg.repeat_scan_chars),
+            "by_args": signal_args(F.col("tool"), F.col("args_raw"), F.col("args")),
             "by_score": F.when(F.col("ml_score") >= cfg.ml_promotion_threshold, F.col("ml_label")),
         }
     )

@@ -1,10 +1,15 @@
 """Vector operators: nearest baseline vectors, anomaly score, cosine, anchor centroids, text vectors.
 
-The exact nearest search has two plans, chosen by the counted size of the baseline:
+The nearest search is exact: each query is compared with each baseline vector. It has two plans with equal results,
+chosen by the counted size of the baseline:
 
 * small: the baseline is one broadcast matrix and queries are scored in Arrow batches, without a shuffle;
-* large: baseline vectors are grouped around pivots into bounded blocks. A query meets only the cells that can hold one
-  of its k nearest vectors (triangle inequality on angles), so the result stays exact.
+* large: queries and baseline are cut into tiles, each pair of tiles is one matrix product in a task of its own, and the
+  k nearest of each tile are merged. Its cost is the number of pairs, so double data on both sides costs four times.
+
+In both, a missing vector counts as the zero vector, whose distance is 1 from everything; a query row is answered by its
+own id and vector, whatever other rows have the id; a baseline id may occur several times, each time as a neighbour of
+its own, and leaving out oneself leaves out all of them; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -18,13 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlog.config import DEFAULT, Settings
+from agentlog.functions.lookups import stripped
 
 NEAREST_TYPE = "array<struct<distance:double,id:string>>"
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 1024
 _QUERY_TILE, _BASE_TILE = 1024, 8192
-# Slack for rounding in the pruning bound; a wider bound only visits more cells.
-_EPS = 1e-6
 
 
 @dataclass(frozen=True)
@@ -68,14 +70,23 @@ def unit(a: Column) -> Column:
 
 
 def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Unit rows; missing vectors are zero."""
     out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None:
-            out[i] = v
+    there = vectors.notna().to_numpy()
+    if there.any():
+        out[there] = np.concatenate(vectors[there].to_list()).reshape(-1, dim)
     lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(lengths, 1e-12)
 
 
+def _own_range(names: np.ndarray, base_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one position of each name in the sorted ids; an empty range for NULL and unknown names."""
+    known = np.array([n is not None for n in names])
+    text = np.where(known, names, "").astype(str)
+    lo, hi = np.searchsorted(base_ids, text, "left"), np.searchsorted(base_ids, text, "right")
+    return lo, np.where(known, hi, lo)
+
+
 def _k_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the k smallest values per row, the first column winning ties."""
     rows = np.arange(len(d))
@@ -88,16 +99,18 @@ def _k_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return what, where
 
 
-def _search(queries: np.ndarray, base: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """k nearest rows of base for each query, tile by tile. ``own`` is the base row to leave out, -1 for none."""
+def _search(
+    queries: np.ndarray, base: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray] | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """k nearest rows of base for each query, tile by tile. ``own`` is the range of base rows to leave out."""
     best_d = np.full((len(queries), k), np.inf)
     best_i = np.full((len(queries), k), -1, dtype=np.int64)
     for start in range(0, len(base), _BASE_TILE):
         tile = base[start : start + _BASE_TILE]
         d = 1.0 - queries @ tile.T
         if own is not None:
-            hit = np.flatnonzero((own >= start) & (own < start + len(tile)))
-            d[hit, own[hit] - start] = np.inf
+            for row in np.flatnonzero((own[0] < own[1]) & (own[0] < start + len(tile)) & (own[1] > start)):
+                d[row, max(own[0][row] - start, 0) : own[1][row] - start] = np.inf
         td, ti = _k_smallest(d, min(k, len(tile)))
         all_d = np.hstack([best_d, td])
         all_i = np.hstack([best_i, ti + start])
@@ -117,7 +130,10 @@ def nearest(
     id_col: str = "id",
     exclude_self: bool = False,
 ) -> DataFrame:
-    """Queries with ``nearest``: the k closest baseline rows by cosine distance, ties by id."""
+    """Queries with ``nearest``: the k closest baseline rows by cosine distance, ties by id.
+
+    On a stream a baseline above ``baseline_broadcast_bytes`` is searched from within ``foreachBatch``.
+    """
     k = k or cfg.nearest_k
     size = baseline_size(baseline)
     if size.rows == 0:
@@ -125,7 +141,7 @@ def nearest(
     base = baseline.select(F.col("id").cast("string").alias("id"), "embedding")
     if size.bytes <= cfg.baseline_broadcast_bytes:
         return _nearest_broadcast(queries, base, size, k, id_col, exclude_self)
-    return _nearest_cells(queries, base, size, k, id_col, exclude_self)
+    return _nearest_tiles(queries, base, size, k, id_col, exclude_self)
 
 
 def _nearest_broadcast(
@@ -133,9 +149,8 @@ def _nearest_broadcast(
 ) -> DataFrame:
     # Collected under the size check of the caller.
     rows = base.orderBy("id").toPandas()
-    ids = rows["id"].to_numpy()
-    matrix = _matrix(rows["embedding"], size.dim)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    ids = rows["id"].to_numpy().astype(str)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix(rows["embedding"], size.dim)))
     dim, wanted = size.dim, min(k, size.rows)
 
     @F.pandas_udf(NEAREST_TYPE)
@@ -144,82 +159,66 @@ def _nearest_broadcast(
         found = []
         for start in range(0, len(vec), _QUERY_TILE):
             part = _matrix(vec.iloc[start : start + _QUERY_TILE], dim)
-            own = None
-            if exclude_self:
-                names = qid.iloc[start : start + _QUERY_TILE].to_numpy().astype(object)
-                at = np.minimum(np.searchsorted(base_ids.astype(str), names.astype(str)), len(base_ids) - 1)
-                own = np.where(base_ids[at] == names, at, -1)
+            names = qid.iloc[start : start + _QUERY_TILE].to_numpy().astype(object)
+            own = _own_range(names, base_ids) if exclude_self else None
             d, i = _search(part, base_matrix, wanted, own)
             for drow, irow in zip(d, i):
-                found.append(
-                    [{"distance": float(x), "id": str(base_ids[j])} for x, j in zip(drow, irow) if np.isfinite(x)]
-                )
+                found.append([{"distance": x, "id": base_ids[j]} for x, j in zip(drow, irow) if np.isfinite(x)])
         return pd.Series(found)
 
     return queries.withColumn("nearest", search(F.col(id_col).cast("string"), F.col("embedding")))
 
 
-def _nearest_cells(
+def _nearest_tiles(
     queries: DataFrame, base: DataFrame, size: BaselineSize, k: int, id_col: str, exclude_self: bool
 ) -> DataFrame:
-    n_pivots = max(k + 1, min(MAX_PIVOTS, math.isqrt(size.rows)))
-    # At most MAX_PIVOTS vectors reach the driver, picked by a hash so that the choice repeats.
-    pivots = base.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
-    sc = queries.sparkSession.sparkContext
     dim = size.dim
-    shared = sc.broadcast(_matrix(pivots["embedding"], dim))
-
-    @F.pandas_udf("struct<cell:int,angle:double>")
-    def assign(vec: pd.Series) -> pd.DataFrame:
-        cos = np.clip(_matrix(vec, dim) @ shared.value.T, -1.0, 1.0)
-        cell = cos.argmax(axis=1)
-        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": np.arccos(cos[np.arange(len(cell)), cell])})
-
-    placed = base.withColumn("_p", assign("embedding")).select("id", "embedding", "_p.cell", "_p.angle")
-    # One row per pivot.
-    stats = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
-    radius = np.full(len(pivots), -np.inf)
-    radius[stats["cell"]] = stats["radius"]
-    parts = {int(c): max(1, math.ceil(n / BLOCK_ROWS)) for c, n in zip(stats["cell"], stats["n"])}
-    spread = F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("cell"))
-    blocks = (
-        placed.withColumn("block", F.pmod(F.xxhash64("id"), spread).cast("int"))
-        .groupBy("cell", "block")
-        .agg(F.collect_list(F.struct("id", unit(F.col("embedding")).alias("vec"))).alias("members"))
+    # Rows of one id and one vector have one answer.
+    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b"))
+    keyed = queries.withColumn("_qid", F.col(id_col).cast("string")).withColumn("_key", key)
+    asked = keyed.select("_qid", "_key", "embedding").dropDuplicates(["_qid", "_key"])
+    tiles_b = math.ceil(size.rows / _BASE_TILE)
+    tiles_q = math.ceil(max(asked.count(), 1) / _BASE_TILE)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("_qt", F.pmod(F.xxhash64("_qid", "_key"), F.lit(tiles_q)).cast("int")).withColumn("_bt", every(tiles_b))
+    b = base.withColumn("_bt", F.pmod(F.xxhash64("id", "embedding"), F.lit(tiles_b)).cast("int")).withColumn("_qt", every(tiles_q))
+
+    def score(part: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        found = {"_qid": [], "_key": [], "distance": [], "id": []}
+        if len(part) and len(tile):
+            tile = tile.sort_values("id")
+            ids = tile["id"].to_numpy().astype(str)
+            own = _own_range(part["_qid"].to_numpy().astype(object), ids) if exclude_self else None
+            d, i = _search(_matrix(part["embedding"], dim), _matrix(tile["embedding"], dim), min(k, len(tile)), own)
+            row, place = np.nonzero(np.isfinite(d))
+            found = {"_qid": part["_qid"].to_numpy()[row], "_key": part["_key"].to_numpy()[row]}
+            found |= {"distance": d[row, place], "id": ids[i[row, place]]}
+        return pd.DataFrame(found)
+
+    local = q.groupBy("_qt", "_bt").cogroup(b.groupBy("_qt", "_bt")).applyInPandas(
+        score, "_qid string, _key struct<a:bigint,b:bigint>, distance double, id string"
     )
-    radii = sc.broadcast(radius)
-    bound_at = k if exclude_self else k - 1
-
-    @F.pandas_udf("array<int>")
-    def candidates(vec: pd.Series) -> pd.Series:
-        # Pivots are baseline vectors, so the k-th nearest pivot bounds the k-th nearest vector from above.
-        angle = np.arccos(np.clip(_matrix(vec, dim) @ shared.value.T, -1.0, 1.0))
-        bound = np.partition(angle, bound_at, axis=1)[:, bound_at]
-        visit = angle - radii.value <= bound[:, None] + _EPS
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in visit])
-
-    q = queries.select(
-        F.col(id_col).cast("string").alias("_qid"), unit(F.col("embedding")).alias("_q"), "embedding"
-    ).dropDuplicates(["_qid"])
-    visits = q.select("_qid", "_q", F.explode(candidates("embedding")).alias("cell"))
-    # A cell many queries visit is a skewed join key; the adaptive planner splits it on the query side.
-    pairs = visits.join(blocks, "cell")
-    members = F.col("members")
-    if exclude_self:
-        members = F.filter(members, lambda m: m.id != F.col("_qid"))
-    scored = F.transform(members, lambda m: F.struct((1.0 - dot(F.col("_q"), m.vec)).alias("distance"), m.id.alias("id")))
-    local = pairs.select("_qid", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("hit"))
+    order = Window.partitionBy("_qid", "_key").orderBy("distance", "id")
     best = (
-        local.withColumn("_n", F.row_number().over(Window.partitionBy("_qid").orderBy("hit.distance", "hit.id")))
+        local.withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= k)
-        .groupBy("_qid")
-        .agg(F.array_sort(F.collect_list("hit")).alias("nearest"))
+        .groupBy("_qid", "_key")
+        .agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("nearest"))
+        .select(F.col("_qid").alias("_fid"), F.col("_key").alias("_fkey"), "nearest")
     )
-    return (
-        queries.withColumn("_qid", F.col(id_col).cast("string"))
-        .join(best, "_qid", "left")
-        .withColumn("nearest", F.coalesce(F.col("nearest").cast(NEAREST_TYPE), F.array().cast(NEAREST_TYPE)))
-        .drop("_qid")
+    same = F.col("_qid").eqNullSafe(F.col("_fid")) & (F.col("_key") == F.col("_fkey"))
+    found = keyed.join(best, same, "left")
+    nearest = F.coalesce(F.col("nearest").cast(NEAREST_TYPE), F.array().cast(NEAREST_TYPE))
+    return found.select(*queries.columns, nearest.alias("nearest"))
+
+
+def neighbour_rows(found: DataFrame, baseline: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row per query and neighbour, nearest first by ``rank`` from 1, with the neighbour's document and metadata."""
+    kept = [c for c in ("document", "metadata") if c in baseline.columns]
+    hits = found.select(F.col(id_col).alias("query_id"), F.posexplode("nearest").alias("_rank", "_hit"))
+    own = baseline.select(F.col("id").cast("string").alias("_bid"), *kept)
+    return hits.join(own, F.col("_hit.id") == F.col("_bid"), "left").select(
+        "query_id", (F.col("_rank") + 1).alias("rank"), F.col("_hit.id").alias("id"), F.col("_hit.distance").alias("distance"), *kept
     )
 
 
@@ -230,7 +229,7 @@ def anomaly_score(
     found = nearest(queries, baseline, 1, cfg, id_col, exclude_self)
     closest = F.try_element_at("nearest", F.lit(1))["distance"]
     within = F.greatest(F.lit(0.0), F.least(F.lit(2.0), closest))
-    return found.withColumn("score", F.coalesce(within, F.lit(1.0))).drop("nearest")
+    return found.withColumn("score", F.when(closest.isNull(), 1.0).otherwise(within)).drop("nearest")
 
 
 # --- anchors ----------------------------------------------------------------------------------------------------------
@@ -278,7 +277,7 @@ def anchor_score(df: DataFrame, anchors: DataFrame, text_col: str | None = None)
     rows = df.withColumns({"_anchors": table.scalar(), "_q": query}).withColumn("_best", F.array_max(scores))
     usable = F.coalesce(F.col("_best.score") > 0, F.lit(False))
     if text_col:
-        usable = usable & (F.trim(F.coalesce(text_col, F.lit(""))) != "")
+        usable = usable & (stripped(F.coalesce(text_col, F.lit(""))) != "")
     return rows.withColumns(
         {
             "ml_score": F.when(usable, F.col("_best.score")).otherwise(0.0),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlog.functions import jsontext as js
+from agentlog.functions.lookups import stripped
 from agentlog.functions.plan import computed_once
 from agentlog.operators.normalize import normalize_all
 
@@ -14,7 +15,7 @@ LOGS_ONLY_MCP = "Only MCP logs are supported by this endpoint"
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of ``value STRING, arrival_seq BIGINT``; blank lines are dropped, a bad line does not stop the rest."""
-    text = lines.where(F.trim("value") != "").select("arrival_seq", F.col("value").alias("raw"))
+    text = lines.where(stripped("value") != "").select("arrival_seq", F.col("value").alias("raw"))
     ok = F.try_parse_json("raw").isNotNull()
     return text.where(ok), text.where(~ok)
 
@@ -49,7 +50,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
 
 def ingest_counts(lines: DataFrame) -> DataFrame:
     """``inserted``, ``errors`` and ``total`` of ingesting the lines: bad JSON and rejected records are errors."""
-    text = lines.where(F.trim("value") != "").select("arrival_seq", F.col("value").alias("raw"))
+    text = lines.where(stripped("value") != "").select("arrival_seq", F.col("value").alias("raw"))
     bad = F.size("errors") > 0
     return normalize_all(text).agg(
         F.count_if(~bad).alias("inserted"), F.count_if(bad).alias("errors"), F.count(F.lit(1)).alias("total")
@@ -59,15 +60,17 @@ def ingest_counts(lines: DataFrame) -> DataFrame:
 def explode_documents(documents: DataFrame) -> DataFrame:
     """Records of whole-text documents (``value``, ``source``): a JSON array, or JSON lines.
 
-    Elements of an array that are not objects are dropped and do not count as rows. In JSON lines a bad line fails the
-    load. ``row`` counts from 1 within the document.
+    Elements of an array that are not objects are dropped and do not count as rows. A broken array and a bad line in
+    JSON lines fail the load. ``row`` counts from 1 within the document.
     """
-    text = documents.select("source", F.trim("value").alias("value")).where(F.col("value") != "")
+    text = documents.select("source", stripped("value").alias("value")).where(F.col("value") != "")
     is_array = F.col("value").startswith("[")
-    elements = F.from_json("value", "array<variant>")
-    records = F.when(
-        is_array, F.transform(F.filter(elements, js.is_object), lambda v: F.to_json(v))
-    ).otherwise(F.filter(F.split("value", "\r?\n"), lambda s: F.trim(s) != ""))
+    # Elements keep their own text, so that key order and number forms survive. A broken array has none.
+    kinds = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", "array<variant>"))
+    failed = F.raise_error(F.concat(F.lit("bad JSON array in "), "source")).cast("array<string>")
+    texts = F.zip_with(F.from_json("value", "array<string>"), kinds, lambda s, v: F.when(js.is_object(v), s))
+    objects = F.array_compact(F.coalesce(texts, failed))
+    records = F.when(is_array, objects).otherwise(F.filter(F.split("value", "\r?\n"), lambda s: stripped(s) != ""))
     rows = text.select("source", is_array.alias("_a"), F.posexplode(records).alias("_i", "raw"))
     broken = ~F.col("_a") & F.try_parse_json("raw").isNull()
     checked = F.when(broken, F.raise_error(F.concat(F.lit("bad JSON line in "), "source"))).otherwise(F.col("raw"))
@@ -88,17 +91,13 @@ def explode_batch(batches: DataFrame) -> DataFrame:
     listed = F.when(js.is_array(v), F.col("raw")).when(
         js.is_array(js.variant_at(v, "$.logs")), js.json_at(F.col("raw"), "$.logs")
     )
-    # Elements keep their own text, so that key order survives.
-    size = F.size(F.from_json("_list", "array<variant>"))
-    path = lambda i: F.concat(F.lit("$["), i.cast("string"), F.lit("]"))
-    return computed_once(
+    # Elements keep their own text, so that key order survives; the list is parsed once.
+    elements = computed_once(
         batches.select("batch_id", listed.alias("_list"))
         .where(F.col("_list").isNotNull())
-        .withColumn("_n", size)
-        .where(F.col("_n") > 0)
-        .select("batch_id", "_list", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
-        .select("batch_id", (F.col("_i") + 1).alias("index"), F.call_function("get_json_object", F.col("_list"), path(F.col("_i"))).alias("raw"))
+        .select("batch_id", F.posexplode(F.from_json("_list", "array<string>")).alias("_i", "raw"))
     )
+    return elements.select("batch_id", (F.col("_i") + 1).alias("index"), "raw")
 
 
 def batch_rows(elements: DataFrame) -> DataFrame:

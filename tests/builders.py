@@ -15,11 +15,12 @@ def uid(n: int) -> str:
 
 
 def stamp(seconds: float) -> str:
-    return f"2026-03-10T14:{int(seconds) // 60:02d}:{seconds % 60:09.6f}+00:00"
+    return f"2025-07-21T09:{int(seconds) // 60:02d}:{seconds % 60:09.6f}+00:00"
 
 
-def notification(n=1, event="TOOL_CALL_RECEIVED", level="info", message="Tool call received", session="s-1", at=0.0, **meta):
-    meta = {"tool": "get_file", "request_id": n, **meta}
+def notification(n=1, event="TOOL_CALL_RECEIVED", level="info", message="call taken", session="s-1", at=0.0, **meta):
+    meta.setdefault("tool", "list_components")
+    meta.setdefault("request_id", 7000 + n)
     return {
         "log_id": uid(n),
         "protocol": "MCP",

@@ -47,7 +47,7 @@ def random_rows(seed, n=400):
 
 
 def frame(spark, rows):
-    zero = datetime.datetime(2026, 3, 10)
+    zero = datetime.datetime(2025, 7, 21)
     data = [
         (r.id, r.session, zero + datetime.timedelta(microseconds=r.us), r.seq, r.event, r.level, r.tool, r.request, r.http, r.used, r.limit)
         for r in rows

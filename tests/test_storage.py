@@ -34,7 +34,7 @@ def test_baseline_keeps_first_of_an_id(spark, tmp_path):
     store.write_baseline(logs, path)
     rows = {r.id: r for r in store.read_baseline(spark, path).collect()}
     assert len(rows) == 2 and rows[uid(1)].document.startswith("first")
-    assert json.loads(rows[uid(2)].metadata.response_payload)["tool"] == "get_file"
+    assert json.loads(rows[uid(2)].metadata.response_payload)["tool"] == "list_components"
 
 
 def test_json_lines_files(spark, tmp_path):
