@@ -55,8 +55,9 @@ def _without():
         for text, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
             lines = text.split("\n")
             gone = np.zeros(len(lines) + 1, np.int32)
-            np.add.at(gone, at, 1)
-            np.add.at(gone, np.asarray(at) + WINDOW, -1)
+            starts = np.asarray(at, np.int64)
+            np.add.at(gone, starts, 1)
+            np.add.at(gone, starts + WINDOW, -1)
             covered = np.cumsum(gone[:-1]) > 0
             kept.append("\n".join([x for x, c in zip(lines, covered, strict=True) if not c]))
             removed.append(int(covered.sum()))
