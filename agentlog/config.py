@@ -25,8 +25,8 @@ class Settings:
     # Session window length in rows.
     window_rows: int = 10
 
-    # A key (session, score range, ...) with at least hot_key_rows rows is cut into hot_key_chunks
-    # ordered chunks, so that no single task has to sort it. At most rows / hot_key_rows keys can be
+    # A key (session, score range, ...) with at least hot_key_rows rows is cut into up to
+    # hot_key_chunks ordered chunks, so that no single task has to sort it. At most rows / hot_key_rows keys can be
     # hot, which bounds what the split broadcasts. None switches the split off.
     hot_key_rows: int | None = 20_000_000
     hot_key_chunks: int = 1024
@@ -42,10 +42,6 @@ class Settings:
         if self.window_rows < 1 or self.hot_key_chunks < 2:
             raise ValueError("window_rows must be >= 1 and hot_key_chunks >= 2")
 
-    @property
-    def scorer_active(self) -> bool:
-        return self.hybrid_enabled and not self.ml_killswitch and self.hybrid_phase >= 2
-
 
 DEFAULT = Settings()
 

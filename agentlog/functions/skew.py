@@ -28,17 +28,22 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
 
 def _chunk_edges(df: DataFrame, key: str, order: str, cfg: Settings) -> DataFrame:
     k = cfg.hot_key_chunks
+    # Rows per chunk: a sixteenth of what makes a key hot, until the key has hot_key_chunks chunks. All edges together are
+    # then at most 16 * rows / hot_key_rows numbers, whatever the keys, which bounds the broadcast.
+    chunk_rows = max(1, cfg.hot_key_rows // 16)
     hot = F.broadcast(hot_keys(df, key, cfg.hot_key_rows))
     edges = (
         df.select(key, order)
         .join(hot, key)
         .groupBy(key)
-        .agg(F.percentile_approx(order, [i / k for i in range(1, k)], max(10_000, 10 * k)).alias("_edges"))
+        .agg(
+            F.percentile_approx(order, [i / k for i in range(1, k)], max(10_000, 10 * k)).alias("_edges"),
+            F.greatest(F.lit(1), F.floor(F.lit(k * chunk_rows) / F.count(F.lit(1)))).cast("int").alias("_every"),
+        )
     )
-    if k - 1 < _STEP:
-        return edges.withColumn("_coarse", F.slice("_edges", 1, 0))
-    every = F.sequence(F.lit(_STEP), F.lit(k - 1), F.lit(_STEP))
-    return edges.withColumn("_coarse", F.transform(every, lambda i: F.element_at("_edges", i)))
+    kept = F.filter("_edges", lambda e, i: (i + 1) % F.col("_every") == 0)
+    edges = edges.select(key, kept.alias("_edges"))
+    return edges.withColumn("_coarse", F.filter("_edges", lambda e, i: (i + 1) % _STEP == 0))
 
 
 def with_chunks(df: DataFrame, key: str, order: str, cfg: Settings = DEFAULT) -> DataFrame:

@@ -267,12 +267,3 @@ def promotion(
     alone = ~rule_hit & ml_hit & F.coalesce(ml_score >= cfg.ml_promotion_threshold, F.lit(False))
     source = F.coalesce(by_rule, F.when(alone, "ml_only"), F.lit("ml_review_queue"))
     return (rule_hit | alone) & known, source
-
-
-def finding_texts(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            "summary": finding_summary(F.col("subtype"), F.col("event")),
-            "recommended_action": recommended_action(F.col("subtype")),
-        }
-    )

@@ -90,17 +90,6 @@ def anomaly_detail(df: DataFrame, log_id: str) -> DataFrame:
     return _anomalies(df).where(F.col("log_id") == log_id)
 
 
-def cognitive_trace(df: DataFrame) -> DataFrame:
-    """Intent, context, action and response of each log, whatever its protocol."""
-    return df.select(
-        "log_id",
-        F.coalesce("intent", "task_intent").alias("intent"),
-        F.coalesce("context_summary", "context_carried").alias("context"),
-        F.coalesce("tool_name", "target_agent").alias("action"),
-        "response_status",
-    )
-
-
 def cognitive_stats(df: DataFrame, high_gap: float = 0.70) -> DataFrame:
     scored = intent_outcome(df)
     mean = lambda c: F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 4)

@@ -15,6 +15,7 @@ its own, and leaving out oneself leaves out all of them; ties go to the smaller
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -286,6 +287,20 @@ def anchor_score(df: DataFrame, anchors: DataFrame, text_col: str | None = None)
     ).drop("_anchors", "_q", "_best")
 
 
+def phrase_scorer(encode: Callable[[DataFrame, str], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The default scorer of findings: texts and anchor phrases get vectors the same way, and a text's score and label
+    are those of the closest label. ``encode`` adds ``embedding`` for a text column; hashed word counts by default."""
+    encode = encode or vectorize
+
+    def score(rows: DataFrame) -> DataFrame:
+        phrases = [(label, i, p) for i, (label, ps) in enumerate(ANCHOR_PHRASES.items()) for p in ps]
+        anchors = rows.sparkSession.createDataFrame(phrases, "label string, rank int, phrase string")
+        scored = anchor_score(encode(rows, "ml_text"), encode(anchors, "phrase").drop("phrase"), "ml_text")
+        return scored.drop("embedding")
+
+    return score
+
+
 # --- text vectors -----------------------------------------------------------------------------------------------------
 
 

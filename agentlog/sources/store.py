@@ -42,19 +42,18 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     upsert_processed(current_rows(spark, path).drop("batch"), target, 0)
 
 
-def flat_metadata(v: Column, raw: Column, name: str) -> Column:
-    """A metadata value as stored with the baseline: missing is empty, scalars are text, the rest is JSON text."""
-    value = js.variant_at(v, "$." + name)
-    nested = js.is_object(value) | js.is_array(value)
-    return F.when(~js.is_present(value), "").when(nested, js.json_text(js.json_at(raw, "$." + name))).otherwise(
-        js.text_of(value)
-    )
-
-
 BASELINE_TEXT = ["event", "logger", "level", "tool_name", "intent", "context_summary", "response_status", "session_id"]
 BASELINE_JSON = ["tool_parameters", "response_payload", "context_carried"]
 
 
+def _flat(df: DataFrame, column: str) -> Column:
+    """Any other column as metadata: scalars as they are, the rest as JSON text, NULL as empty text."""
+    kind = dict(df.dtypes)[column]
+    nested = kind.startswith(("struct", "array", "map", "variant"))
+    text = F.to_json(column) if nested else F.col(column).cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
 def baseline_rows(df: DataFrame) -> DataFrame:
     """Logs with an ``embedding`` as baseline rows: unique ids (first arrival), flat metadata, document text."""
     first = Window.partitionBy("log_id").orderBy("arrival_seq")
@@ -62,6 +61,8 @@ def baseline_rows(df: DataFrame) -> DataFrame:
     metadata = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in BASELINE_TEXT]
     metadata += [F.coalesce(js.json_text(F.col(c)), F.lit("")).alias(c) for c in BASELINE_JSON]
     metadata += [F.coalesce("latency_ms", F.lit(0)).alias("latency_ms")]
+    own = {*BASELINE_TEXT, *BASELINE_JSON, "latency_ms", "log_id", "embedding", "text_for_embedding"}
+    metadata += [_flat(df, c).alias(c) for c in df.columns if c not in own]
     return kept.select(
         F.col("log_id").alias("id"),
         F.transform("embedding", lambda x: x.cast("float")).alias("embedding"),
