@@ -17,6 +17,7 @@ PERIOD, KINDS = 4096, 256  # of the walks' coin throws, by step and by kind of c
 MOST = 128  # sampled components of a fingerprint
 GRAM = 4  # characters a component stands for
 BANDS, BAND_SIZE = 24, 6
+CHARS_AT_ONCE, CELLS, ABREAST = 1 << 22, 1 << 22, 8  # of texts in hand; of a table of texts side by side; texts for one
 
 
 class Embedder:
@@ -31,14 +32,51 @@ class Embedder:
         # Steps from j to the one behind the next heads, for each kind of character; the coins repeat after PERIOD steps.
         twice = np.where(np.concatenate([heads, heads], axis=1), np.arange(2 * PERIOD), 4 * PERIOD)
         ahead = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :PERIOD]
-        self.moves = (ahead - np.arange(PERIOD) + 1).ravel().tolist()
-
-    def steps(self, kinds: np.ndarray, start: int = 0) -> np.ndarray:
-        """The step at which the walk comes to each character, and the one at which it leaves the last."""
-        moves, mask = self.moves, PERIOD - 1
-        walk = accumulate(kinds.tolist(), lambda j, k: j + moves[k + (j & mask)], initial=start)
+        # The place within the period behind the next heads, by kind and place.
+        self.after = ((ahead + 1) % PERIOD).astype(np.int32).ravel()
+        self.after_list = self.after.tolist()
+
+    def walks(self, kinds: list[np.ndarray], starts: list[int] | None = None) -> list[np.ndarray]:
+        """For each text the step at which the walk comes to each character, and the one at which it leaves the last.
+
+        Coins decide by the place within the period; a character takes at least one step and at most a period. Texts of
+        like length walk side by side, one character of each at a time; a few long ones walk alone.
+        """
+        starts = starts or [0] * len(kinds)
+        order = sorted(range(len(kinds)), key=lambda i: -len(kinds[i]))
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(kinds)
+        at = 0
+        while at < len(order):
+            longest = len(kinds[order[at]])
+            group = order[at : at + max(1, CELLS // (longest + 1))]
+            at += len(group)
+            if len(group) >= ABREAST:
+                places = self._abreast([kinds[i] for i in group], [starts[i] for i in group])
+            else:
+                places = (self._alone(kinds[i], starts[i]) for i in group)
+            for i, place in zip(group, places, strict=True):
+                taken = (np.diff(place) - 1) % PERIOD + 1
+                out[i] = np.concatenate([[starts[i]], starts[i] + np.cumsum(taken)])
+        return out
+
+    def _alone(self, kinds: np.ndarray, start: int) -> np.ndarray:
+        after = self.after_list
+        walk = accumulate(kinds.tolist(), lambda place, kind: after[kind + place], initial=start % PERIOD)
         return np.fromiter(walk, np.int64, len(kinds) + 1)
 
+    def _abreast(self, kinds: list[np.ndarray], starts: list[int]) -> Iterator[np.ndarray]:
+        """The texts come longest first, so those still walking are the first ones."""
+        lengths = np.array([len(k) for k in kinds])
+        table = np.zeros((lengths[0], len(kinds)), np.int32)
+        for i, k in enumerate(kinds):
+            table[: len(k), i] = k
+        places = np.zeros((lengths[0] + 1, len(kinds)), np.int32)
+        places[0] = np.array(starts) % PERIOD
+        walking = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
+        for step, n in enumerate(walking):
+            self.after.take(table[step, :n] + places[step, :n], out=places[step + 1, :n], mode="clip")
+        return (places[: n + 1, i].astype(np.int64) for i, n in enumerate(lengths))
+
     @staticmethod
     def codes(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -107,22 +145,19 @@ def _in_buckets(docs: DataFrame) -> DataFrame:
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     embed = Embedder()
-    last = None  # the document that waits for its next one
+    waiting: list[tuple] = []  # rows (bucket, later, doc_id, text), read but not answered
+    size, kind = 0, None
     for batch in batches:
-        out = []
-        for bucket, later, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if later and (last is None or last[0] != bucket):
-                continue
-            codes = embed.codes(text)
-            kinds = embed.kinds(codes)
-            steps = embed.steps(kinds)
-            here = bucket, doc_id, text, codes, kinds, steps, embed.sampled(codes, steps)
-            if last is not None and last[0] == bucket:
-                out.append(_edited(embed, last, here))
-            last = None if later else here
-        columns = list(zip(*out, strict=True)) or [()] * len(PRINTS.names)
-        types = [batch.schema.field("doc_id").type, *PRINTS.types[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], PRINTS.names)
+        kind = batch.schema.field("doc_id").type
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            waiting.append(row)
+            size += len(row[3])
+            if size >= CHARS_AT_ONCE:
+                yield _answers(embed, waiting, kind)
+                waiting = waiting[-1:]  # its next row is still to come
+                size = len(waiting[0][3])
+    if kind is not None:
+        yield _answers(embed, waiting, kind)
 
 
 PRINTS = pa.schema(
@@ -131,15 +166,27 @@ PRINTS = pa.schema(
 )
 
 
-def _edited(embed: Embedder, doc: tuple, after: tuple) -> tuple:
-    """The output row of a document, given the next one. The walk over the edited text is the same up to the edit."""
-    _, doc_id, text, codes, _, steps, own = doc
-    _, _, next_text, next_codes, next_kinds, _, next_own = after
-    kept, new = len(codes) - len(codes) // 4, len(codes) // 4
-    walk = np.concatenate([steps[:kept], embed.steps(next_kinds[:new], int(steps[kept]))])
-    edited = embed.sampled(np.concatenate([codes[:kept], next_codes[:new]]), walk)
-    digest = hashlib.sha256((text[:kept] + next_text[:new]).encode()).hexdigest()
-    return doc_id, len(codes), digest, own, edited, likeness(own, edited), likeness(own, next_own)
+def _answers(embed: Embedder, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """An output row for each document that is followed by a row of its bucket. The walk over the edited text is that
+    over the text up to the edit."""
+    codes = [embed.codes(text) for _, _, _, text in rows]
+    kinds = [embed.kinds(c) for c in codes]
+    steps = embed.walks(kinds)
+    own = [embed.sampled(c, s) for c, s in zip(codes, steps, strict=True)]
+    asked = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
+    kept = [len(codes[i]) - len(codes[i]) // 4 for i in asked]
+    new = [kinds[i + 1][: len(codes[i]) // 4] for i in asked]
+    ends = embed.walks(new, [int(steps[i][k]) for i, k in zip(asked, kept, strict=True)])
+    out = []
+    for i, k, end in zip(asked, kept, ends, strict=True):
+        n = len(codes[i]) // 4
+        edited = embed.sampled(np.concatenate([codes[i][:k], codes[i + 1][:n]]), np.concatenate([steps[i][:k], end]))
+        digest = hashlib.sha256((rows[i][3][:k] + rows[i + 1][3][:n]).encode()).hexdigest()
+        near = likeness(own[i], edited), likeness(own[i], own[i + 1])
+        out.append((rows[i][2], len(codes[i]), digest, own[i], edited, *near))
+    columns = list(zip(*out, strict=True)) or [()] * len(PRINTS.names)
+    types = [kind, *PRINTS.types[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], PRINTS.names)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
