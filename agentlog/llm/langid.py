@@ -37,7 +37,8 @@ def trigrams(text: str) -> np.ndarray:
 
 def support_vectors(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, classes weighed alike, by accelerated descent."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    weight = np.where(y == 0, 0, share).astype(np.float32)  # rows of neither class take no part
     w = ahead = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead)).astype(np.float32)
@@ -67,8 +68,8 @@ class Model:
                 model.by_family[family] = support_vectors(x, np.where(kin == family, 1, -1).astype(np.float32))
         for members in model.families.values():
             for a, b in combinations(members, 2):
-                rows = (own == a) | (own == b)
-                model.by_pair[a, b] = support_vectors(x[rows], np.where(own[rows] == a, 1, -1).astype(np.float32))
+                side = np.where(own == a, 1, np.where(own == b, -1, 0)).astype(np.float32)
+                model.by_pair[a, b] = support_vectors(x, side)
         return model
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -117,15 +118,21 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, rows_per_language / n)])
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / F.lit(float(1 << 53))
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("cells array<int>, values array<float>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([trigrams(t.as_py()) for t in texts], pa.list_(pa.float32()))
+        found = [trigrams(t.as_py()) for t in texts]
+        cells = [np.flatnonzero(x).astype(np.int32) for x in found]
+        values = [x[c] for x, c in zip(found, cells, strict=True)]
+        columns = [pa.array(cells, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+        return pa.StructArray.from_arrays(columns, ["cells", "values"])
 
     sample = rows.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), features("text").alias("x"))
-    got = sample.toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
+    got = sample.select("lang", "draw", "x.cells", "x.values").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
     if not len(got):
         return Model()
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(got), CELLS)
+    x = np.zeros((len(got), CELLS), np.float32)
+    for i, (cells, values) in enumerate(zip(got["cells"], got["values"], strict=True)):
+        x[i, cells.values.to_numpy()] = values.values.to_numpy()
     return Model.fitted(x, got["lang"].to_pylist())
 
 
