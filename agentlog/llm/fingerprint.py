@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -17,6 +18,8 @@ PERIOD, KINDS = 4096, 256  # of the walks' coin throws, by step and by kind of c
 MOST = 128  # sampled components of a fingerprint
 GRAM = 4  # characters a component stands for
 BANDS, BAND_SIZE = 24, 6
+TILE = 1024  # members of a bucket that one task compares
+LARGE = 48 * TILE  # from here on tiles would copy a bucket's rows more often than a split does
 CHARS_AT_ONCE, CELLS, ABREAST = 1 << 22, 1 << 22, 8  # of texts in hand; of a table of texts side by side; texts for one
 
 
@@ -208,39 +211,177 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def alike(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, alike_id) for documents whose fingerprint has a likeness of ``least`` or more with one of a smaller id.
+def _bytes(print_: Column, places: list[int]) -> Column:
+    return F.concat(*[F.substring(print_, 2 + p, 1) for p in places])
+
+
+def _split(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of large buckets in buckets of further components: short blocks of neighbouring ones, so many that a
+    likeness of ``least`` leaves at least one block equal, at the scale at which the two are compared."""
+    wide = 1 / (1 - min(least, 0.99))
+    size = max(1, min(4, math.ceil(round(wide, 6)) - 1))
+    blocks = []
+    for up in (0, 1):
+        for at in range(0, MOST >> up, size):
+            there = _bytes(F.col("print"), [p << up for p in range(at, min(at + size, MOST >> up))])
+            key = F.xxhash64("bucket", F.lit(at), _scale(F.col("print")) + up, there)
+            blocks.append(F.when(F.octet_length(there) > 0, key))
+    parts = rows.withColumn("part", F.explode(F.array_compact(F.array(*blocks))))
+    parts = written(parts.select(F.col("part").alias("bucket"), "doc_id", "open", "print"), "parts")
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("size > 1 AND any")
+    return parts.join(written(sizes.drop("any"), "parts"), "bucket").select(*rows.columns)
+
+
+def _matches(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
+    """Which of the components x (a row each, nx of them filled) have a likeness of ``least`` or more with which of y."""
+    w = int(min(nx.max(), ny.max()))
+    y = np.where(y[:, :w] == 256, 257, y[:, :w])  # what is missing equals nothing
+    if len(x) * len(y) <= 1024:
+        same = (x[:, None, :w] == y[None]).sum(axis=2)
+    else:
+        same = np.zeros((len(x), len(y)), np.uint8)
+        x, y = np.ascontiguousarray(x[:, :w].T), np.ascontiguousarray(y.T)
+        for i in range(w):
+            same += x[i][:, None] == y[i]
+    return same / np.maximum(nx[:, None], ny) >= least
+
+
+def _first_likes(rows: list[tuple], least: float, across: bool) -> dict[int, int]:
+    """Rows (side, open, print) in order of their ids -> for each open row the first one before it that is like it;
+    ``across``, only those of the other side."""
+    n = len(rows)
+    codes, filled = np.full((n, MOST), 256, np.uint16), np.empty(n, np.int64)
+    scale, side = np.array([r[2][0] for r in rows]), np.array([r[0] for r in rows])
+    for i, (_, _, print_) in enumerate(rows):
+        filled[i] = len(print_) - 1
+        codes[i, : filled[i]] = np.frombuffer(print_, np.uint8)[1:]
+    first = np.where([r[1] for r in rows], n, -1)  # n: asked, not found
+    for a in np.unique(scale):
+        for b in np.unique(scale):
+            sx, sy = 1 << min(max(b - a, 0), 7), 1 << min(max(a - b, 0), 7)
+            for s in np.unique(side) if across else (None,):
+                targets = np.flatnonzero((scale == b) & (side != s) if across else scale == b)
+                for at in range(0, len(targets), 64):
+                    t = targets[at : at + 64]
+                    q = np.flatnonzero((scale == a) & (first > t[0]) & (np.arange(n) > t[0]))
+                    q = q[side[q] == s] if across else q
+                    if not len(q):
+                        continue
+                    like = _matches(codes[q, ::sx], -(-filled[q] // sx), codes[t, ::sy], -(-filled[t] // sy), least)
+                    like &= t < q[:, None]
+                    hit = like.any(axis=1)
+                    first[q[hit]] = np.minimum(first[q[hit]], t[like[hit].argmax(axis=1)])
+    return {i: int(f) for i, f in enumerate(first) if 0 <= f < n}
+
+
+def _compared(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (bucket, i, j, side, doc_id, open, print) sorted by tile and id -> (print, alike_id) of what each tile finds."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, out, kind = None, [], [], None
+
+        def done() -> None:
+            likes = _first_likes([r[3:4] + r[5:] for r in rows], least, across=tile[1] != tile[2])
+            out.extend((rows[q][6], rows[t][4]) for q, t in likes.items())
+
+        def answered() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], kind)], ["print", "alike_id"])
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != tile:
+                    if rows:
+                        done()
+                    tile, rows = row[:3], []
+                rows.append(row)
+            yield answered()
+        if rows:
+            done()
+            yield answered()
+
+    return compared
+
+
+def _scale(print_: Column) -> Column:
+    return F.conv(F.hex(F.substring(print_, 1, 1)), 16, 10).cast("int")
+
+
+def _classes(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print), a row for each distinct fingerprint, with the smallest id that has it; found by a 128-bit hash.
+    And (print, alike_id) of those that several rows have."""
+    keyed = some.select("doc_id", "print", F.xxhash64("print").alias("k"), F.xxhash64(F.lit(1), "print").alias("k2"))
+    copies = keyed.groupBy("k", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = written(copies.drop("n"), "copies")
+    firsts = keyed.join(copies, ["k", "k2"]).where("doc_id = first").select("doc_id", "print").distinct()
+    firsts = written(firsts, "firsts")
+    singles = keyed.join(copies, ["k", "k2"], "left_anti").select("doc_id", "print")
+    return written(singles.union(firsts), "classes"), firsts.select("print", F.col("doc_id").alias("alike_id"))
+
 
-    Bands: BAND_SIZE components at places drawn at random, the same for all; two documents meet in a bucket when all of
-    a band agree, at their own scale or the next coarser one. Each bucket is a star around its smallest id, so pairs are
-    as many as rows; each is verified on the whole fingerprints. alike_id is the smallest such centre. Empty texts and
-    NULL ids take no part.
+def alike(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(fingerprint, alike_id): the smallest id among a fingerprint's own documents and those that share a bucket with it
+    and have a likeness of ``least`` or more. Fingerprints of one document that is like no smaller id may be left out.
+
+    Equal fingerprints are one class. Bands: BAND_SIZE components at places drawn at random, the same for all; two
+    classes meet in a bucket when all of a band agree, at their own scale or the next coarser one. First each bucket is a
+    star around its smallest id, so pairs are as many as rows. Where a member isn't like that one or a smaller id, all
+    smaller members of the bucket are compared with it, in tiles of TILE by TILE; buckets above LARGE are split on
+    further components before. So no like pair of bucket mates is missed; the tiles' cost is the number of pairs in
+    buckets whose members are unlike their smallest id. Empty texts and NULL ids take no part.
     """
-    some = prints.where("fingerprint <> '' AND doc_id IS NOT NULL").select("doc_id", "fingerprint")
+    some = prints.where("fingerprint <> '' AND doc_id IS NOT NULL").select("doc_id", F.unhex("fingerprint").alias("print"))
+    classes, copies = _classes(some)
     places = np.random.Generator(np.random.PCG64(21)).integers(0, MOST // 2, (BANDS, BAND_SIZE)).tolist()
-    scale = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int")
 
     def band(i: int, up: int) -> Column:
-        digits = [F.substring(F.col("fingerprint"), 3 + 2 * (p << up), 2) for p in places[i]]
-        return F.xxhash64(F.lit(i), scale + up, *digits)
+        digits = [F.substring("print", 2 + (p << up), 1) for p in places[i]]
+        return F.xxhash64(F.lit(i), _scale(F.col("print")) + up, *digits)
 
     keys = F.array(*[band(i, up) for i in range(BANDS) for up in (0, 1)])
-    rows = some.select("doc_id", F.explode(keys).alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
-    pairs = rows.join(written(stars, "stars"), "bucket").where("doc_id > centre").select("doc_id", "centre").distinct()
-    centres = some.select(F.col("doc_id").alias("centre"), F.col("fingerprint").alias("other"))
+    rows = classes.select("doc_id", F.explode(keys).alias("bucket"))
+    stars = rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    members = written(rows.join(written(stars, "stars"), "bucket"), "members")
+    classes = written(classes.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "classes")
 
     @F.arrow_udf("double")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([likeness(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
-
-    both = written(pairs, "pairs").join(some, "doc_id").join(centres, "centre")
-    close = both.where(near("fingerprint", "other") >= least)
-    return close.groupBy("doc_id").agg(F.min("centre").alias("alike_id"))
+        return pa.array([likeness(x.as_py().hex(), y.as_py().hex()) for x, y in zip(a, b, strict=True)], pa.float64())
+
+    pairs = written(members.where("doc_id > centre").select("doc_id", "centre").distinct(), "pairs")
+    both = pairs.join(classes, "doc_id").join(classes.select(F.col("doc_id").alias("centre"), F.col("print").alias("other")), "centre")
+    close = both.where(near("print", "other") >= least).select("print", F.col("centre").alias("alike_id"))
+    close = written(close.groupBy("print").agg(F.min("alike_id").alias("alike_id")), "close")
+
+    # What is open: members of buckets that may have a smaller like id in the bucket than the one found.
+    best = classes.join(close, "print", "left").groupBy("doc_id").agg(F.max(F.coalesce("alike_id", "doc_id")).alias("best"))
+    judged = members.where("size > 2").join(written(best, "best"), "doc_id").withColumn("open", F.col("best") > F.col("centre"))
+    judged = written(judged.select("bucket", "size", "doc_id", "open"), "judged")
+    undone = written(judged.where("open").select("bucket").distinct(), "undone")
+    rows = judged.join(undone, "bucket").join(classes, "doc_id").select("bucket", "size", "doc_id", "open", "print")
+    rows = written(rows, "undone")
+    if not rows.isEmpty():
+        small = rows.where(F.col("size") <= LARGE)
+        if not (large := rows.where(F.col("size") > LARGE)).isEmpty():
+            small = small.union(_split(large, least))
+        tiles = F.ceil(F.col("size") / TILE).cast("int")
+        tiled = small.withColumn("side", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
+        tiled = tiled.withColumn("to", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        tiled = tiled.select("bucket", F.least("side", "to").alias("i"), F.greatest("side", "to").alias("j"), "side", "doc_id", "open", "print")
+        tiled = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+        kind = dict(prints.dtypes)["doc_id"]
+        close = close.union(written(tiled.mapInArrow(_compared(least), f"print binary, alike_id {kind}"), "tiles"))
+    # Copies have their class's first id at least.
+    found = close.union(copies).groupBy("print").agg(F.min("alike_id").alias("alike_id"))
+    return found.select(F.lower(F.hex("print")).alias("fingerprint"), "alike_id")
 
 
 def with_alike(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """The fingerprints with ``alike_id``, a document's own id where it is like none of a smaller id."""
+    columns = prints.columns
     prints = written(prints, "prints")
     found = written(alike(prints, least), "alike")
-    return prints.join(found, "doc_id", "left").withColumn("alike_id", F.coalesce("alike_id", "doc_id"))
+    like = F.when(F.col("doc_id").isNotNull(), F.coalesce("alike_id", "doc_id"))
+    return prints.join(found, "fingerprint", "left").select(*columns, like.alias("alike_id"))

@@ -369,6 +369,32 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.fingerprints(df.where("doc_id = 5")).first().edited_sha256
 
 
+@pytest.mark.parametrize(("tile", "large"), [(fingerprint.TILE, fingerprint.LARGE), (8, 10**9), (8, 16)])
+def test_fingerprints_of_a_template_family(spark, monkeypatch, tile, large):
+    """Most of the family are unlike its smallest ids; copies and near copies further on are found all the same."""
+    import random
+
+    monkeypatch.setattr(fingerprint, "TILE", tile)
+    monkeypatch.setattr(fingerprint, "LARGE", large)
+    rng = random.Random(11)
+    template = rng.randbytes(128)
+    vary = lambda b, share: bytes(rng.randrange(256) if rng.random() < share else c for c in b)
+    prints = {i: (2 + i % 2, vary(template[:: 1 + i % 2], 0.2)) for i in range(240)}
+    for i in range(240, 320):
+        scale, b = prints[rng.randrange(40, i)]
+        coarser = scale == 2 and i % 4 == 0
+        prints[i] = (3, vary(b[::2], 0.05)) if coarser else (scale, b if i % 2 else vary(b, 0.05)[: len(b) - i % 3])
+    prints[500], prints[501] = prints[239], (3, vary(template[::2], 0.2))
+    rows = [(i, f"{s:02x}{b.hex()}") for i, (s, b) in prints.items()]
+    rows += [(501, rows[50][1]), (None, rows[60][1])]  # one id, two texts; and none
+    df = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
+    got = Counter((r.doc_id, r.fingerprint, r.alike_id) for r in fingerprint.with_alike(df).collect())
+    ids = [r for r in rows if r[0] is not None]
+    expected = [(d, f, min(e for e, g in ids if e <= d and (e == d or fingerprint.likeness(f, g) >= 0.8))) for d, f in ids]
+    assert got == Counter([*expected, (*rows[-1], None)])
+    assert sum(d != m for d, _, m in expected) >= 80
+
+
 def embed(text):
     """The embedding step by step, from the same coins."""
     e = fingerprint.Embedder()
