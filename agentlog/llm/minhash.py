@@ -125,7 +125,14 @@ def _whole_sets(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     near = bloom.mark(docs.withColumn("key", F.xxhash64("doc_id")), "key", bloom.build(wanted, "key", bits), bits, "maybe")
     near = _with_sets(near.where("maybe").select("doc_id", "text"), words, banded=False)
     exact = near["doc_id"].eqNullSafe(wanted["doc_id"]) & (near["set_hash"] == wanted["set_hash"])
-    return written(near.join(wanted, exact).select("rep", "n_shingles", "hashes"), "sets")
+    sets = written(near.join(wanted, exact).select("rep", "n_shingles", "hashes"), "sets")
+    # Rows that repeat a doc_id with an equal set all match their representative; one of them is enough.
+    again = sets.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
+    again = written(again, "repeated")
+    if again.isEmpty():
+        return sets
+    first = sets.join(again, "rep").groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "hashes")])
+    return written(sets.join(again, "rep", "left_anti").union(first), "sets")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int = 0) -> DataFrame:

@@ -224,6 +224,26 @@ def test_near_duplicates_in_chains_and_mixed_buckets(spark):
     assert 1 < len({e[2] for e in expected}) < len(rows)
 
 
+def test_near_duplicates_of_repeated_rows_in_large_buckets(spark):
+    """Rows repeat with their doc_id, or with none, inside a family of more than SMALL on one template."""
+    template = prose(300, 90).split()
+    texts = []
+    for i in range(48):
+        text = template + prose(400 + i // 2, 9).split()  # two by two they are alike
+        texts.append(" ".join([*text[: 10 + i], f"own{i}", *text[11 + i :]]))
+    rows = [(i if i % 3 else None, t) for i, t in enumerate(texts) for _ in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = []
+    whole = minhash._whole_sets
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash, "_whole_sets", lambda *a: sets.append(whole(*a)) or sets[-1])
+        got = minhash.near_duplicates(df, words=3, percent=88).collect()
+    expected = brute_components(rows, 3, 88)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(expected)
+    assert 2 < len({e[2] for e in expected}) < 40
+    assert sets[0].count() == sets[0].select("rep").distinct().count() > minhash.SMALL
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (150, 300), (7, 7), (9, 8)] + [(500, x) for x in range(501, 540)]
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
