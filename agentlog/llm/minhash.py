@@ -258,6 +258,31 @@ def _outside(tokens: DataFrame, percent: int) -> DataFrame:
     return written(rows.select(F.xxhash64("group", "shingle").alias("bucket"), "rep", "label"), "shingles")
 
 
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A row for each row of docs (doc_id, text and others): these without text, n_shingles, component_id, and whether
+    the row ``stays``, which of a component is the first one by doc_id, NULL last, and by row."""
+    banded = _with_sets(docs, words, banded=True).withColumn("row", F.monotonically_increasing_id())
+    banded = written(banded, "sketches")
+    some = banded.where("n_shingles > 0")
+    # The first row of a class by id, NULL last, and by row among those that repeat an id.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = some.groupBy("set_hash").agg(F.min("row").alias("rep"), F.min(place).alias("first"))
+    rows = written(some.join(written(classes, "classes"), "set_hash"), "sketches")
+    reps = rows.where("row = rep").select("rep", "doc_id", "first", "set_hash", "n_shingles")
+    buckets = rows.where("row = rep").select("rep", F.explode("hashes").alias("bucket"))
+    labels = _labels(buckets, reps, docs, words, percent)
+    firsts = labels.join(reps.select("rep", "first"), "rep").groupBy("label")
+    firsts = written(firsts.agg(F.min("first").alias("least")), "firsts")
+    members = written(labels.join(firsts, "label").select("rep", "least"), "components")
+    least = F.coalesce("least", "first")
+    own = [c for c in docs.columns if c != "text"]
+    out = rows.drop("hashes").join(members, "rep", "left").select(
+        *own, "n_shingles", least["doc_id"].alias("component_id"), (F.col("row") == least["row"]).alias("stays")
+    )
+    none = banded.where("n_shingles = 0")
+    return out.unionByName(none.select(*own, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -275,38 +300,33 @@ def near_duplicates(
     Other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    banded = _with_sets(docs, words, banded=True).withColumn("row", F.monotonically_increasing_id())
-    banded = written(banded, "sketches")
-    some = banded.where("n_shingles > 0")
-    # The first row of a class by id, NULL last, and by row among those that repeat an id.
-    classes = some.groupBy("set_hash").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"))
-    rows = written(some.join(written(classes, "classes"), "set_hash"), "sketches")
-    reps = rows.where("row = rep").select("rep", "doc_id", "first_id", "set_hash", "n_shingles")
-    buckets = rows.where("row = rep").select("rep", F.explode("hashes").alias("bucket"))
-    labels = _labels(buckets, reps, docs, words, percent)
-    firsts = labels.join(reps.select("rep", "first_id"), "rep").groupBy("label")
-    firsts = written(firsts.agg(F.min("first_id").alias("component_id")), "firsts")
-    members = written(labels.join(firsts, "label").select("rep", "component_id"), "components")
-    out = rows.drop("hashes").join(members, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "first_id").alias("component_id")
-    )
-    none = banded.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = _judged(docs, words, percent).drop("stays")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, all columns as they were. Rows of a doc_id that goes all go.
+    """Of each component of ``near_duplicates`` one row, that of the smallest doc_id, NULL last; all columns as they were.
+    Texts without shingles stay.
 
-    Only ids of documents that go are joined: a Bloom filter lets rows that aren't among them pass without a shuffle.
+    Rows are judged one by one: a row is told by its doc_id and its text's SHA-256, so other rows of a doc_id stay. Of
+    rows that are equal in both and stay, any one does. Only rows that go or repeat are joined: a Bloom filter lets
+    others pass without a shuffle.
     """
-    judged = near_duplicates(docs, doc_id, text, words, percent)
-    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = gone.withColumn("_key", F.xxhash64("_gone"))
-    key, maybe = fresh(docs, "_key"), fresh(docs, "_maybe")
-    bits = bloom.filter_bits(gone.count())
-    keyed = docs.withColumn(key, F.xxhash64(doc_id))
-    marked = bloom.mark(keyed, key, bloom.build(gone, "_key", bits), bits, maybe)
-    left = marked.where(maybe).join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(left.select(*docs.columns))
+    digest = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
+    judged = _judged(narrow, words, percent).where("n_shingles > 0")
+    told = judged.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha"))
+    told = told.agg(F.max("stays").alias("_stays"), F.count("*").alias("n")).where("n > 1 OR NOT _stays").drop("n")
+    told = written(told.withColumn("_key", F.xxhash64("_id", "_sha")), "gone")
+    key, sha, maybe = fresh(docs, "_key"), fresh(docs, "_digest"), fresh(docs, "_maybe")
+    bits = bloom.filter_bits(told.count())
+    keyed = docs.withColumn(sha, digest).withColumn(key, F.xxhash64(doc_id, sha))
+    marked = bloom.mark(keyed, key, bloom.build(told, "_key", bits), bits, maybe)
+    near = marked.where(maybe).select(F.struct(*docs.columns).alias("_all"), F.col(doc_id).alias("_doc"), F.col(sha).alias("_digest"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    chance = near.join(told, same, "left_anti")
+    one = near.join(told.where("_stays"), same, "left_semi").groupBy("_doc", "_digest").agg(F.first("_all").alias("_all"))
+    left = chance.select("_all.*").unionByName(one.select("_all.*"))
+    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(left)

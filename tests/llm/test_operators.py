@@ -224,6 +224,19 @@ def test_near_duplicates_in_chains_and_mixed_buckets(spark):
     assert 1 < len({e[2] for e in expected}) < len(rows)
 
 
+def test_near_duplicates_go_by_row(spark):
+    """A near copy goes alone, not with all rows that have its doc_id or none; rows that repeat leave one."""
+    base = prose(500, 60).split(" ")
+    near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (1, 57, 58)]
+    rows = [(1, " ".join(base)), (2, near[0]), (2, prose(501, 60)), (None, near[1]), (None, prose(502, 60)), (None, ""), (None, None)]
+    rows += [(4, prose(503, 60))] * 3 + [(None, prose(504, 60))] * 2 + [(6, near[2]), (6, None), (6, prose(505, 60))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, n int")
+    kept = minhash.drop_near_duplicates(df).collect()
+    expected = [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7], rows[10], *rows[-2:]]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(expected)
+    assert all(rows[r.n] == (r.doc_id, r.text) for r in kept)
+
+
 def test_near_duplicates_of_repeated_rows_in_large_buckets(spark):
     """Rows repeat with their doc_id, or with none, inside a family of more than SMALL on one template."""
     template = prose(300, 90).split()
