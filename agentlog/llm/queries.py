@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, sharding, urls
+from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, resampling, sharding, urls, whitening
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,41 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, key="a key of the data's owner")
+
+
+_RUNS_SQL = """string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')"""
+
+
+@query(
+    f"""WITH dw AS (SELECT doc_id, list_filter({_RUNS_SQL}, lambda x: x <> '') AS w FROM documents),
+       bw AS (SELECT list_filter({_RUNS_SQL}, lambda x: x <> '') AS w FROM benchmark),
+       df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM dw),
+       bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM bw),
+       dn AS (SELECT doc_id, f, count(*) AS n FROM df GROUP BY 1, 2), tn AS (SELECT f, count(*) AS n FROM bf GROUP BY 1),
+       hx AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM dn UNION SELECT f FROM tn)),
+       bits AS (SELECT f, list_transform(range(0, len(x) * 4), lambda i:
+         (instr('0123456789ABCDEF', x[(i // 8) * 2 + CASE WHEN i % 8 < 4 THEN 2 ELSE 1 END]) - 1 >> (i % 4)) & 1) AS b FROM hx),
+       crc AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], b::BIGINT[]), lambda c, y:
+         xor(c >> 1, CASE WHEN xor(c & 1, y) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 10000 AS bucket FROM bits),
+       s AS (SELECT bucket, sum(n) AS s FROM dn JOIN crc USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM tn JOIN crc USING (f) GROUP BY 1),
+       whole AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000 AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000 AS tt),
+       g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ss / ((coalesce(s, 0)::DOUBLE + 1) * tt)))::BIGINT AS gain
+         FROM s FULL JOIN t USING (bucket), whole),
+       m AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM dn JOIN crc USING (f) JOIN g USING (bucket) GROUP BY 1),
+       v AS (SELECT dw.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+         CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || dw.doc_id), 1, 8))::BIGINT AS h FROM dw LEFT JOIN m USING (doc_id)),
+       z AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM v),
+       r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM z WHERE n_words >= 20)
+       SELECT z.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+)
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
