@@ -7,16 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlog.llm import bloom
-from agentlog.llm.components import components
+from agentlog.llm import bloom, families
 from agentlog.llm.common import fresh, written
+from agentlog.llm.families import SMALL
 
 BINS, ROWS = 128, 4  # 32 bands of 4 bins: of pairs at a likeness of 0.8, one in 20 million shares no bucket
 WORDS_KEPT, LONGEST_KEPT = 500_000, 64
-SMALL = 16  # members of a bucket that may all be compared
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,17 +104,6 @@ def _with_sets(docs: DataFrame, words: int, banded: bool) -> DataFrame:
     return docs.withColumn("found", found).select(*[c for c in docs.columns if c != "text"], "found.*")
 
 
-def _common():
-    """A function column: the number of elements that two sorted sets share."""
-
-    @F.arrow_udf("bigint")
-    def common(a: pa.Array, b: pa.Array) -> pa.Array:
-        both = ((x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(a, b, strict=True))
-        return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], pa.int64())
-
-    return common
-
-
 def _whole_sets(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(rep, n_shingles, hashes) of the representatives that share a bucket with others. Only their texts are read by
     the function and shuffled, found by a Bloom filter of their doc_ids and an exact join."""
@@ -135,127 +123,11 @@ def _whole_sets(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     return written(sets.join(again, "rep", "left_anti").union(first), "sets")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int = 0) -> DataFrame:
-    """(a, b, na, nb, both) of pairs of representatives: sizes and common shingles of the whole sets. With ``percent``,
-    pairs whose sizes alone rule a link out go first."""
-    n = sets.select("rep", "n_shingles")
-    sized = pairs.join(n.withColumnsRenamed({"rep": "a", "n_shingles": "na"}), "a")
-    sized = sized.join(n.withColumnsRenamed({"rep": "b", "n_shingles": "nb"}), "b")
-    sized = written(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "pairs")
-
-    def side(end: str, name: str) -> DataFrame:
-        own = sets.join(sized.select(F.col(end).alias("rep")), "rep", "left_semi")
-        return own.select(F.col("rep").alias(end), F.col("hashes").alias(name))
-
-    sides = sized.join(side("b", "hb"), "b").join(side("a", "ha"), "a")
-    return written(sides.select("a", "b", "na", "nb", _common()("ha", "hb").alias("both")), "overlaps")
-
-
-def _alike(overlaps: DataFrame, percent: int) -> DataFrame:
-    union = F.col("na") + F.col("nb") - F.col("both")
-    return overlaps.where(100 * F.col("both") >= percent * union).select("a", "b")
-
-
-def _stars(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, rep) with their bucket's ``size`` and ``centre``, the member that has most mates in all."""
-    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")), "buckets")
-    mates = rows.join(sizes, "bucket").groupBy("rep").agg(F.sum("size").alias("mates"))
-    most = F.max_by("rep", F.struct("mates", -F.col("rep")))
-    centres = rows.join(written(mates, "mates"), "rep").groupBy("bucket").agg(most.alias("centre"), F.count("*").alias("size"))
-    return written(rows.join(written(centres, "centres"), "bucket"), "members")
-
-
-def _divided(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, rep, label) of buckets whose members aren't all in one component."""
-    ends = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    return rows.join(written(ends.select("bucket"), "divided"), "bucket")
-
-
 def _labels(buckets: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rep, label) of the components of all links between bucket mates; representatives without a link are left out.
-
-    Each bucket is a star: its members are compared with its centre, the one with most mates. Where they all come into
-    one component, the bucket is done. Two members of different components may still be linked. Buckets of at most SMALL
-    members compare those. In larger ones take the common shingles, which half of the members have: either the two
-    share a shingle that isn't common, and meet in a bucket of that shingle, which is treated in the same way; or all
-    that they share is common, which bounds their sizes by what each has of those, and members far from the centre are
-    out. No link between bucket mates is lost, and no large bucket gets all its pairs compared.
-    """
+    """(rep, label) of the components of all links between bucket mates; representatives without a link are left out."""
     ends = buckets.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket")
-    rows = written(buckets.join(written(ends, "buckets"), "bucket"), "members")
-    sets = _whole_sets(rows, reps, docs, words)
-    # Bands share centres, so large buckets of one centre go on as one group; from there on, each on its own.
-    links, labels, group = None, None, "centre"
-    while True:
-        stars = _stars(rows)
-        pairs = stars.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-        tested = _overlaps(pairs, sets)
-        links = _alike(tested, percent) if links is None else links.union(_alike(tested, percent))
-        # Components of the first stars are enough to tell which buckets are divided; later links join a few of them.
-        labels = labels or _components(links)
-        rows = stars.where("size > 2").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        rows = written(_divided(written(rows, "members")), "members")
-        if rows.isEmpty():
-            return labels if group == "centre" else _components(links)
-        few = rows.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-        mates = few.join(few.withColumnsRenamed({"a": "b", "la": "lb"}), "bucket").where("a < b AND la <> lb")
-        many = rows.where(F.col("size") > SMALL).select(F.col(group).alias("group"), "centre", "rep", "label").distinct()
-        tokens = _tokens(written(many, "members"), sets)
-        pairs = mates.select("a", "b").union(_inside(tokens, percent)).distinct()
-        links = written(links.union(_alike(_overlaps(pairs, sets, percent), percent)), "verified")
-        rows = written(_divided(_outside(tokens, percent)).select("bucket", "rep"), "members")
-        if rows.isEmpty():
-            return _components(links)
-        group = "bucket"
-
-
-def _components(links: DataFrame) -> DataFrame:
-    return written(components(links), "labels").select(F.col("node").alias("rep"), "label")
-
-
-def _tokens(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """A row per group, member and shingle, with how ``often`` the group's members have the shingle and whether it is
-    ``common``, that is, at least half of them have it. ``inside`` counts a member's common shingles."""
-    size = many.groupBy("group").agg(
-        F.count("*").alias("members"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("label"))).alias("main")
-    )
-    rows = many.join(sets, "rep").select("group", "rep", "label", F.col("n_shingles").alias("n"), F.explode("hashes").alias("shingle"))
-    often = rows.groupBy("group", "shingle").agg(F.count("*").alias("often")).join(size, "group")
-    often = often.select("group", "shingle", "often", "main", (2 * F.col("often") >= F.col("members")).alias("common"))
-    inside = F.count_if("common").over(Window.partitionBy("group", "rep"))
-    return written(rows.join(often, ["group", "shingle"]).withColumn("inside", inside), "tokens")
-
-
-def _inside(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components of a large bucket that can be linked by common shingles alone: a link needs
-    |y| + |z| <= both * (1 + 100 / percent), and both is at most what each of the two has inside. One of the two isn't in
-    the centre's component."""
-    members = tokens.select("group", "rep", "label", "n", "inside", "main").distinct()
-    members = written(members.withColumn("most", F.floor(F.col("inside") * (100 + percent) / F.lit(percent))), "members")
-    least = F.ceil(F.col("n") * F.lit(percent) / 100)
-    apart = members.where(~F.col("label").eqNullSafe(F.col("main")) & (least <= F.col("most") - F.col("n")))
-    apart = apart.select(
-        "group", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"),
-        F.explode(F.sequence(least, F.col("most") - F.col("n"))).alias("n"),
-    )
-    pairs = apart.join(members, ["group", "n"]).where("ly <> label AND ny + n <= most")
-    return pairs.select(F.least("y", "rep").alias("a"), F.greatest("y", "rep").alias("b"))
-
-
-def _outside(tokens: DataFrame, percent: int) -> DataFrame:
-    """Rows (bucket, rep, label), a bucket for each group and shingle that isn't common in it.
-
-    Linked members share at least t shingles, t following from their sizes, and so t - inside that aren't common. It is
-    enough that a member goes to the buckets of its rarer shingles, without the t - inside - 1 most frequent ones: two
-    that share as many meet in one of the others. These buckets have less than half of the members that the one before
-    had, so there is a last one.
-    """
-    n, inside = F.col("n"), F.col("inside")
-    needed = F.ceil(percent * (n + F.ceil(percent * n / 100)) / F.lit(100 + percent)) - inside
-    rank = F.row_number().over(Window.partitionBy("group", "rep").orderBy("often", "shingle"))
-    rows = tokens.where("NOT common").withColumn("rank", rank)
-    rows = rows.where((F.col("rank") <= n - inside - F.greatest(needed, F.lit(1)) + 1) & (F.col("often") > 1))
-    return written(rows.select(F.xxhash64("group", "shingle").alias("bucket"), "rep", "label"), "shingles")
+    rows = written(buckets.join(ends, "bucket"), "members")
+    return families.components_within(rows, _whole_sets(rows, reps, docs, words), percent)
 
 
 def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -266,10 +138,13 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     some = banded.where("n_shingles > 0")
     # The first row of a class by id, NULL last, and by row among those that repeat an id.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = some.groupBy("set_hash").agg(F.min("row").alias("rep"), F.min(place).alias("first"))
-    rows = written(some.join(written(classes, "classes"), "set_hash"), "sketches")
+    copies = F.count("*").alias("copies")
+    classes = some.groupBy("set_hash").agg(F.min("row").alias("rep"), F.min(place).alias("first"), copies)
+    rows = written(some.join(classes, "set_hash"), "sketches")
     reps = rows.where("row = rep").select("rep", "doc_id", "first", "set_hash", "n_shingles")
-    buckets = rows.where("row = rep").select("rep", F.explode("hashes").alias("bucket"))
+    buckets = rows.where("row = rep").select(
+        "rep", F.col("n_shingles").alias("n"), "copies", F.explode("hashes").alias("bucket")
+    )
     labels = _labels(buckets, reps, docs, words, percent)
     firsts = labels.join(reps.select("rep", "first"), "rep").groupBy("label")
     firsts = written(firsts.agg(F.min("first").alias("least")), "firsts")
@@ -292,8 +167,9 @@ def near_duplicates(
     words; component_id is the smallest doc_id that links lead to, and the document that has it is kept.
 
     Documents of equal sets are one class, found by a 128-bit hash; only a class's first row goes on, so groups of
-    copies cost a count. Candidates are mates in one of 32 buckets (see BINS); per bucket they form stars, so their
-    number follows the number of rows, and each link is confirmed on the whole sets.
+    copies cost a count. Candidates are mates in one of 32 buckets (see BINS); per bucket they form a star, so their
+    number follows the number of rows, and each link is confirmed on the whole sets. Where a star leaves a bucket in
+    several components, links between its members are found by their differences (see families.py): none is lost.
 
     A text of fewer words is one shingle. NULL, empty and white texts have no shingles, are linked with nothing and
     kept, each with its own id. Rows that repeat a doc_id share links by text; NULL ids come last in a component.

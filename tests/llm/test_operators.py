@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from agentlog.llm import bloom, exact, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, sharding, urls
+from agentlog.llm import bloom, exact, families, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, sharding, urls
 from agentlog.llm.components import components
 from tests.llm.cases import documents, empty, prose
 
@@ -449,3 +449,39 @@ def test_fingerprint_survives_small_edits():
         assert fingerprint.likeness(embed(text), embed(changed)) > 0.6
     assert fingerprint.likeness(embed(text), embed(prose(10, 400))) < 0.2
     assert fingerprint.likeness(embed(text), embed(text + " and a little more")) > 0.8
+
+
+def template_texts(n, words=400, lacking=8, seed=1):
+    """Texts that each lack some random words of one template: close to the limit of a likeness of 0.85."""
+    import random
+
+    rng = random.Random(seed)
+    template = prose(700, words).split()
+    return [" ".join(w for k, w in enumerate(template) if k not in gone) for gone in (set(rng.sample(range(words), lacking)) for _ in range(n))]
+
+
+def test_template_families_compare_few_pairs(spark):
+    """Members that no centre reaches are found by what they lack: all links, and far from all pairs."""
+    compared = {}
+    inner = families.verified
+    for n in (200, 400):
+        rows = list(enumerate(template_texts(n)))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(families, "verified", lambda pairs, *a, n=n: compared.update({n: compared.get(n, 0) + pairs.count()}) or inner(pairs, *a))
+            got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, words=3, percent=85).collect())
+        expected = brute_components(rows, 3, 85)
+        assert got == Counter(expected)
+    assert compared[400] < 2.2 * compared[200] and compared[400] < 400 * 399 // 2 // 8
+
+
+def test_overlap_is_exact_or_given_up():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 1 << 64, rng.integers(0, 40), np.uint64)) for _ in range(2))
+        b = np.unique(np.r_[b, a[: len(a) // 2]])
+        both = len(set(a.tolist()) & set(b.tolist()))
+        assert families.overlap(a, b, 0) == both and families.overlap(a, b, both) == both
+        assert families.overlap(a, b, both + 1) == -1

@@ -19,7 +19,7 @@ def test_query(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {k.split("_")[0] for k in [*queries.QUERIES, "pipeline"]}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {k.split("_")[0] for k in [*queries.QUERIES, "pipeline"]}
     assert set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
 
 
