@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlog.llm import exact, fingerprint, langid, linewindows, minhash, mixture, pieces, pii, resampling, sharding, urls, whitening
+from agentlog.llm import (
+    exact, fingerprint, langid, linewindows, minhash, mixture, ngramjoin, pieces, pii, resampling, sharding, urls, whitening,
+)
 from agentlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +173,8 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query()
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_components(table(spark, sf_dir, "documents"), words=5, percent=80)
