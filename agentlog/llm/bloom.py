@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentlog.llm.common import fresh
+
 BLOCK_BITS = 32_768  # of bitmap_construct_agg
 MAX_BITS = 1 << 30  # 128 MB
 
@@ -49,13 +51,14 @@ def _bit(bitmap: Column, place: Column) -> Column:
 
 def mark(rows: DataFrame, key: str, blocks: DataFrame, bits: int, flag: str) -> DataFrame:
     """The rows with ``flag``: false where the key certainly isn't in the filter. ``blocks`` has at most ``bits`` bits."""
-    b = blocks.select(F.col("block").alias("_bloom_block"), F.col("bitmap").alias("_bloom_bits"))
+    block, bitmap = fresh(rows, "_bloom_block"), fresh(rows, "_bloom_bits")
+    b = blocks.select(F.col("block").alias(block), F.col("bitmap").alias(bitmap))
     k = F.col(key)
     hit = F.lit(True)
     for place in _places(k):
-        hit = hit & _bit(F.col("_bloom_bits"), place)
+        hit = hit & _bit(F.col(bitmap), place)
     return (
-        rows.join(F.broadcast(b), _block(k, bits) == F.col("_bloom_block"), "left")
+        rows.join(F.broadcast(b), _block(k, bits) == F.col(block), "left")
         .withColumn(flag, F.coalesce(hit, F.lit(False)))
-        .drop("_bloom_block", "_bloom_bits")
+        .drop(block, bitmap)
     )

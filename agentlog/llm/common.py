@@ -42,5 +42,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """The column's name as the frame has it, found as Spark finds it."""
+    if name in df.columns or df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return name
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlog.llm.common import fresh
+from agentlog.llm.common import fresh, own_name
 
 # Families of language codes. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -35,14 +35,31 @@ def trigrams(text: str) -> np.ndarray:
     return counts / max(float(np.sqrt(counts @ counts)), 1e-9)
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4) -> np.ndarray:
+class Rows:
+    """Sparse rows side by side: ``cells`` and ``values`` of row i start at starts[i]. No row is empty."""
+
+    def __init__(self, cells: list[np.ndarray], values: list[np.ndarray]):
+        lengths = np.array([len(c) for c in cells])
+        self.starts = np.cumsum(lengths) - lengths
+        self.cells, self.values = np.concatenate(cells), np.concatenate(values)
+        self.row = np.repeat(np.arange(len(cells), dtype=np.int32), lengths)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.values * w[self.cells], self.starts)
+
+    def summed(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its weight."""
+        return np.bincount(self.cells, self.values * weights[self.row], CELLS).astype(np.float32)
+
+
+def support_vectors(x: Rows, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, classes weighed alike, by accelerated descent."""
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     weight = np.where(y == 0, 0, share).astype(np.float32)  # rows of neither class take no part
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    w = ahead = np.zeros(CELLS, np.float32)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead)).astype(np.float32)
-        step = ahead + 0.9 * (x.T @ (weight * slack * y) - penalty * ahead)
+        slack = np.maximum(0, 1 - y * x.times(ahead)).astype(np.float32)
+        step = ahead + 0.9 * (x.summed(weight * slack * y) - penalty * ahead)
         ahead = step + t / (t + 3) * (step - w)
         w = step
     return w
@@ -57,7 +74,7 @@ class Model:
     by_pair: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def fitted(cls, x: np.ndarray, langs: list[str]) -> Model:
+    def fitted(cls, x: Rows, langs: list[str]) -> Model:
         model = cls()
         for lang in sorted(set(langs)):
             model.families.setdefault(FAMILIES.get(lang, lang), []).append(lang)
@@ -80,7 +97,7 @@ class Model:
         lead = math.inf
         family = next(iter(self.families))
         if self.by_family:
-            margins = sorted(((float(x @ w), f) for f, w in self.by_family.items()), reverse=True)
+            margins = sorted(((float(x @ w), f) for f, w in self.by_family.items()), key=lambda m: (-m[0], m[1]))
             family, lead = margins[0][1], margins[0][0] - margins[1][0]
         members = self.families[family]
         won = dict.fromkeys(members, (0, 0.0))
@@ -130,9 +147,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     got = sample.select("lang", "draw", "x.cells", "x.values").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
     if not len(got):
         return Model()
-    x = np.zeros((len(got), CELLS), np.float32)
-    for i, (cells, values) in enumerate(zip(got["cells"], got["values"], strict=True)):
-        x[i, cells.values.to_numpy()] = values.values.to_numpy()
+    x = Rows(*([v.values.to_numpy() for v in got[c]] for c in ("cells", "values")))
     return Model.fitted(x, got["lang"].to_pylist())
 
 
@@ -143,26 +158,34 @@ def has_letters(text: Column) -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents with language and score of each whole text; no shuffle.
 
-    NULL texts and texts without letters are ``und`` with score 0. Existing columns named as the outputs are replaced.
+    NULL texts and texts without letters are ``und`` with score 0. Texts are read whole, however long: each is counted into
+    CELLS numbers. A tie of families or of languages goes to the first by name. Existing columns named as the outputs
+    are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain dictionaries and arrays: unlike functions, broadcasts don't carry code to executors without the package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.families, model.by_family, model.by_pair))
 
     @F.arrow_udf("lang string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fitted = Model(*shared.value)
         for texts in batches:
-            found = [(UNDETERMINED, 0.0) if (s := t.as_py()) is None else shared.value.predict(s) for t in texts]
+            found = [(UNDETERMINED, 0.0) if (s := t.as_py()) is None else fitted.predict(s) for t in texts]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.StructArray.from_arrays(columns, ["lang", "score"])
 
     # Texts without letters go as NULL.
     judged = predicted(F.when(has_letters(F.col(text)), F.col(text)))
     kept = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
-    return docs.withColumn("_judged", judged).select(
-        *kept, F.col("_judged.lang").alias(lang), F.col("_judged.score").alias(score)
-    )
-
-
-def with_known_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents that have a language; those that are undetermined go. Columns stay as they are."""
-    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
-    return predict(docs, model, text, lang, score).where(F.col(lang) != UNDETERMINED).select(*docs.columns)
+    both = fresh(docs, "_judged")
+    return docs.withColumn(both, judged).select(*kept, F.col(both)["lang"].alias(lang), F.col(both)["score"].alias(score))
+
+
+def with_known_language(docs: DataFrame, model: Model, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The documents that have a language; those that are undetermined go. Columns stay as they are, but where the column
+    ``lang`` is given and NULL, it gets the predicted language."""
+    found, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    known = predict(docs, model, text, found, score).where(F.col(found) != UNDETERMINED)
+    if lang is not None:
+        lang = own_name(docs, lang)
+        known = known.withColumn(lang, F.coalesce(lang, found))
+    return known.select(*docs.columns)

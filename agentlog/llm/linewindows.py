@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlog.llm import bloom
-from agentlog.llm.common import fresh, written
+from agentlog.llm.common import fresh, own_name, written
 
 WINDOW = 3
 EVENT = np.dtype([("high", np.int64), ("low", np.int64)])
@@ -72,35 +72,43 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """The documents with lines that occurred before taken out of the text, and their number in ``removed``.
 
-    Every three lines in a row are a window. A window that a document of a smaller id has too, or that came earlier in
-    the same text, is a later occurrence; the lines that later occurrences cover, overlaps merged, are removed. Other
-    columns stay as they are, a column named ``removed`` is replaced.
+    Every three lines in a row are a window. A window that a document before has too, or that came earlier in the same
+    text, is a later occurrence; the lines that later occurrences cover, overlaps merged, are removed. Documents are in the
+    order of their ids, NULL last, and rows of one id or none in that of their text's hash. So each window stays in one
+    document. Other columns stay as they are, a column named ``removed`` is replaced.
 
     Texts of fewer than three lines and windows of blank lines are left alone. NULL texts stay NULL. A text whose lines
-    all go is empty. Rows of one doc_id aren't later than each other; rows without an id only lose repeats of their own.
+    all go is empty. Rows that are equal in id and text are one document: they lose the same lines.
 
     Windows are narrow rows: they are grouped by hash, counted on the map side first, and windows that repeat are joined
     back, where Spark splits hot ones. Of the texts only those that lose lines are shuffled; a Bloom filter tells.
     """
-    key = fresh(docs, "_text_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
+    text = own_name(docs, text)
+    key, order = fresh(docs, "_text_key"), fresh(docs, "_text_order")
+    # A document's place and 128 bits of its text: equal only for rows that are equal in both.
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
+    keyed = docs.withColumn(order, F.when(F.col(text).isNotNull(), place))
     narrow = keyed.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.col(key).alias("key"), _windows()(F.col(text).cast("binary")).alias("found")
+        F.col(order).alias("doc"), _windows()(F.col(text).cast("binary")).alias("found")
     )
-    narrow = written(narrow.select("doc_id", "key", "found.windows", "found.again"), "windows")
-    rows = narrow.select("doc_id", "key", F.inline("windows"))
-    repeated = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = written(repeated.where("first < last").drop("last"), "repeated")
-    later = rows.join(repeated, ["high", "low"]).where("doc_id > first").select("key", "pos")
-    later = later.union(narrow.select("key", F.explode("again")))
-    places = written(later.groupBy("key").agg(F.collect_set("pos").alias("places")), "places")
+    narrow = written(narrow.select("doc", "found.windows", "found.again"), "windows")
+    rows = narrow.select("doc", F.inline("windows"))
+    repeated = rows.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    repeated = written(repeated.where("n > 1").drop("n"), "repeated")
+    later = rows.join(repeated, ["high", "low"]).where("doc > first").select("doc", "pos")
+    later = later.union(narrow.select("doc", F.explode("again")))
+    places = later.groupBy("doc").agg(F.collect_set("pos").alias("places"))
+    places = written(places.withColumn("key", F.xxhash64("doc")), "places")
     bits = bloom.filter_bits(places.count())
     flag, at, out = fresh(docs, "_maybe"), fresh(docs, "_places"), fresh(docs, "_out")
+    keyed = keyed.withColumn(key, F.xxhash64(order))
     marked = bloom.mark(keyed, key, bloom.build(places, "key", bits), bits, flag)
     kept = [c for c in docs.columns if c.lower() != removed.lower()]
     none = marked.where(~F.col(flag) | F.col(flag).isNull()).select(*kept, F.lit(0).alias(removed))
-    places = places.select(F.col("key").alias(key), F.col("places").alias(at))
-    some = marked.where(flag).join(places, key, "left")
+    of = fresh(docs, "_of")
+    places = places.select(F.col("doc").alias(of), F.col("places").alias(at))
+    some = marked.where(flag).join(places, F.col(order).eqNullSafe(F.col(of)), "left")
     some = some.withColumn(out, _without()(F.coalesce(F.col(text), F.lit("")), F.coalesce(at, F.array().cast("array<int>"))))
     new_text = F.when(F.col(text).isNotNull(), F.col(out)["text"])
     some = some.select(

@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentlog.llm.common import fresh
+
 SPACE = "▁"
 WORDS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 200_000, 40, 1_000_000
 
@@ -187,10 +189,10 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     which has no ids. A space character of the vocabulary in the text is read as a space. Existing columns named as the
     two outputs are replaced.
     """
-    pair = encoder(docs, model_path)(F.col(text))
+    pair, both = encoder(docs, model_path)(F.col(text)), fresh(docs, "_piece_pair")
     kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]
-    return docs.withColumn("_piece_pair", pair).select(
-        *kept, F.col("_piece_pair.ids").alias(ids), F.col("_piece_pair.decoded").alias(decoded)
+    return docs.withColumn(both, pair).select(
+        *kept, F.col(both)["ids"].alias(ids), F.col(both)["decoded"].alias(decoded)
     )
 
 

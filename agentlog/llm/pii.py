@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlog.llm.common import fresh
+from agentlog.llm.common import fresh, own_name
 
 ROUNDS = 8
 # Kinds of values by form. What a form finds is then validated; the first kind that fits wins.
@@ -173,6 +173,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     """
     hits, gaps = fresh(docs, "_hits"), fresh(docs, "_gaps")
     kept = [c for c in docs.columns if c.lower() != found.lower()]
+    text = own_name(docs, text)
     t = F.col(text)
     none = F.array().cast("array<string>")
     marked = docs.select(*kept, F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))).otherwise(none).alias(hits))

@@ -71,7 +71,7 @@ def judge_urls(
     the list, and Spark splits its side of the join.
 
     NULL URLs and URLs without :// have empty host and path, no canonical URL, and are allowed. The list may repeat or
-    have NULLs, and may be empty.
+    have NULLs, and may be empty. Very long URLs are read whole. Repeated rows are judged each, alike.
     """
     key, flag, canon = (fresh(pages, n) for n in ("_url_key", "_url_maybe", "_url_canonical"))
     listed = listed.select("canonical").where("canonical IS NOT NULL").distinct()
@@ -84,9 +84,9 @@ def judge_urls(
     seen = seen.withColumn("rule", name).withColumn("verdict", action)
     seen = seen.withColumn(key, F.when(F.col("verdict").isNull(), F.xxhash64(canon)))
     seen = bloom.mark(seen, key, bloom.build(listed, "key", bits), bits, flag)
-    hits = listed.select(F.col("canonical").alias("_listed_url"))
-    exact = seen.where(F.col(flag)).join(hits, F.col(canon) == F.col("_listed_url"), "left")
-    exact = exact.withColumn("verdict", F.when(F.col("_listed_url").isNotNull(), "block").otherwise("allow"))
+    hit = fresh(seen, "_listed_url")
+    exact = seen.where(F.col(flag)).join(listed.select(F.col("canonical").alias(hit)), F.col(canon) == F.col(hit), "left")
+    exact = exact.withColumn("verdict", F.when(F.col(hit).isNotNull(), "block").otherwise("allow"))
     rest = seen.where(~F.col(flag)).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     columns = [*kept, "host", "path", "rule", "verdict"]
     return rest.select(*columns).unionByName(exact.select(*columns))

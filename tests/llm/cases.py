@@ -27,7 +27,8 @@ def documents(spark):
     ]
     schema = "doc_id bigint, text string, lang string, source string"
     df = spark.createDataFrame(rows, schema)
-    clash = "key hashes row bucket label places found shard score host _key _maybe _row size n".split()
+    clash = "key hashes row bucket label places found shard score host _key _maybe _row size n _bloom_block _bloom_bits _listed_url _judged".split()
+    clash += "_piece_pair _text_key _text_order _of _places _out _lang".split()
     return df.selectExpr("*", *[f"'x' AS `{c}`" for c in clash])
 
 
