@@ -15,9 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be determined go."""
+    """Documents whose language can't be determined go; those without one get the predicted one."""
     model = langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))))
-    return langid.with_known_language(docs, model)
+    return langid.with_known_language(docs, model, lang="lang")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
