@@ -19,7 +19,7 @@ def judged_rows(logs: DataFrame, cfg: Settings = DEFAULT, scorer: signals.Scorer
 
 
 JUDGED_COLUMNS = [
-    "log_id", "session_id", "ts", "arrival_seq", "event", "level", "subtype", "s1", "s2", "s3", "s4", "warned", "has_code",
+    "log_id", "session_id", "ts", "arrival_seq", "event", "level", "tool", "subtype", "s1", "s2", "s3", "s4", "warned", "has_code",
     "synthetic", "ml_score", "ml_label", "detail", "derived", "c_429", "context_rule_ids", "own_links", "back_links",
     "reported", "promotion_source",
 ]
@@ -62,6 +62,7 @@ def to_findings(judged: DataFrame) -> DataFrame:
         signals.final_confidence(base, subtype, F.col("promotion_source"), F.col("ml_score")).alias("confidence"),
         F.array_compact(F.array(*named)).alias("signals_triggered"),
         "event",
+        "tool",
         F.when(F.col("level").isin(fixed.LEVELS), F.col("level")).otherwise("info").alias("level"),
         signals.finding_summary(subtype, F.col("event")).alias("summary"),
         "detail",

@@ -304,8 +304,9 @@ def phrase_scorer(encode: Callable[[DataFrame, str], DataFrame] | None = None) -
 # --- text vectors -----------------------------------------------------------------------------------------------------
 
 
-def vectorize(df: DataFrame, text_col: str = "text_for_embedding", dim: int = 256) -> DataFrame:
-    """Add ``embedding``: unit-length hashed word counts. Any function that adds such a column can take its place."""
+def vectorize(df: DataFrame, text_col: str = "text_for_embedding", dim: int = 256, sparse: bool = False) -> DataFrame:
+    """Add ``embedding``: unit-length hashed word counts, the zero vector for a text without words. Any function that adds
+    such a column can take its place. ``sparse`` gives struct(indices, values), which suits many dimensions."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
@@ -314,4 +315,7 @@ def vectorize(df: DataFrame, text_col: str = "text_for_embedding", dim: int = 25
     )
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
     scaled = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
+    if sparse:
+        parts = F.from_json(F.to_json(F.struct("_unit")), "_unit struct<indices:array<int>,values:array<double>>")["_unit"]
+        return scaled.withColumn("embedding", parts).drop("_text", "_words", "_tf", "_unit")
     return scaled.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")

@@ -11,6 +11,7 @@ from agentlog.config import Settings
 from agentlog.functions import dictionaries as fixed
 from agentlog.functions import jsontext as js
 from agentlog.functions import lookups as lk
+from agentlog.functions.plan import broadcast_up_to
 from agentlog.operators import classify as cl
 from agentlog.operators import detect as dt
 from agentlog.operators import evaluate as ev
@@ -442,8 +443,7 @@ _rule_query(se.inconsistent_success, "c_schema", "inconsistent_state")
 )
 def prior_comment_links(spark, sf):
     found = fd.to_findings(fd.judged_rows(_logs(spark, sf)).drop("back_links"))
-    # A comment call is told from its metadata text, which the finding shows.
-    comment = F.col("detail").contains('"tool": "post_comment"') & (F.col("subtype") == "prompt_injection_attempt")
+    comment = (F.col("tool") == "post_comment") & (F.col("subtype") == "prompt_injection_attempt")
     return found.where(comment & (F.size("correlated_log_ids") > 0)).select("log_id", _joined("correlated_log_ids").alias("links"))
 
 
@@ -622,13 +622,15 @@ def explanation_word_limit(spark, sf):
 @query(
     o.chain(o.RAW, select="""SELECT arrival_seq, 'MCP' AS protocol, session_id, tool AS tool_or_target, event AS event_or_type,
       CASE WHEN variant = 12 THEN '' ELSE raw_log_id END AS log_id FROM raw0 WHERE variant NOT IN (13, 14, 19)
+      UNION ALL SELECT arrival_seq, CASE variant WHEN 14 THEN 'MCP' ELSE '' END, '', '', '', raw_log_id
+        FROM raw0 WHERE variant IN (13, 14, 19)
       UNION ALL SELECT -1 - arrival_seq, 'A2A', CASE WHEN (conv_id + turn) % 9 = 1 THEN 'not-a-uuid' ELSE session_id END,
         CASE WHEN (conv_id + turn) % 9 = 2 THEN ' ' ELSE target_agent END,
         CASE WHEN turn % 2 = 0 THEN 'task_delegation' ELSE 'result_return' END, log_id FROM conv""".replace("FROM conv", "FROM conv"), )
     .replace("WITH ", "WITH " + o.CONV.strip() + ",", 1)
 )
 def raw_previews(spark, sf):
-    mcp = _raw(spark, sf).where(~F.col("variant").isin(13, 14, 19)).select("arrival_seq", "raw")
+    mcp = _raw(spark, sf).select("arrival_seq", "raw")
     a2a = ft.raw_messages(ft.read(spark, sf, "conversations")).select((-1 - F.col("arrival_seq")).alias("arrival_seq"), "raw")
     return cl.raw_preview(mcp.unionByName(a2a)).drop("raw")
 
@@ -644,16 +646,23 @@ def filtered_group(spark, sf):
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
-def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(queries, baseline): odd and even rows of the vector table."""
-    v = ft.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding", "label")
-    return v.where(F.col("vec_id") % 2 == 1), v.where(F.col("vec_id") % 2 == 0)
+def _all_vectors(spark, sf) -> DataFrame:
+    return ft.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding", "label")
 
 
-_PAIRS = """
-vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 100, against all rows."""
+    return vectors.where(F.col("vec_id") % 100 == 0)
+
+
+_VEC = """
+vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"""
+_PAIRS = (
+    _VEC
+    + """,
 pairs AS (SELECT q.vec_id AS q, q.label, b.vec_id AS b, 1 - list_dot_product(q.e, b.e) / (q.n * b.n) AS d
-  FROM vec q JOIN vec b ON q.vec_id % 2 = 1 AND b.vec_id % 2 = 0)"""
+  FROM vec q JOIN vec b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id)"""
+)
 
 _NEAREST_SQL = o.chain(
     _PAIRS,
@@ -669,18 +678,32 @@ def _neighbours(df: DataFrame) -> DataFrame:
 
 @query(_NEAREST_SQL)
 def nearest_vectors(spark, sf):
-    return _neighbours(ve.nearest(*_vectors(spark, sf), k=5))
+    v = _all_vectors(spark, sf)
+    return _neighbours(ve.nearest(_asked(v), v, k=5, exclude_self=True))
 
 
 @query(_NEAREST_SQL)
 def nearest_vectors_cells(spark, sf):
     """The same search with the plan for a baseline that is too large to broadcast."""
-    return _neighbours(ve.nearest(*_vectors(spark, sf), k=5, cfg=Settings(baseline_broadcast_bytes=0)))
+    v = _all_vectors(spark, sf)
+    return _neighbours(ve.nearest(_asked(v), v, k=5, cfg=Settings(baseline_broadcast_bytes=0), exclude_self=True))
 
 
-@query(o.chain(_PAIRS, select="SELECT CAST(q AS VARCHAR) AS id, round(least(2.0, greatest(0.0, min(d))), 6) AS score FROM pairs GROUP BY 1"))
+@query(
+    o.chain(_VEC, """mid0 AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda p: p[1] / a.n - 0.5 * p[2] / b.n) AS e
+        FROM vec a JOIN vec b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vec)),
+      mid AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM mid0)""",
+      select="""SELECT CAST(q.vec_id AS VARCHAR) AS id, round(greatest(0, least(2, min(1 - list_dot_product(q.e, b.e) / (q.n * b.n)))), 6) AS score
+      FROM mid q CROSS JOIN vec b GROUP BY 1""")
+)
 def anomaly_scores(spark, sf):
-    return ve.anomaly_score(*_vectors(spark, sf)).select("id", F.round("score", 6).alias("score"))
+    """Vectors that aren't in the baseline, each the difference of two of the table, against all of its rows."""
+    v = _all_vectors(spark, sf)
+    n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
+    after = v.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), ve.unit(F.col("embedding")).alias("next"))
+    both = v.select("vec_id", "id", ve.unit(F.col("embedding")).alias("own")).join(after, "vec_id")
+    asked = both.select("id", F.zip_with("own", "next", lambda x, y: x - 0.5 * y).alias("embedding"))
+    return ve.anomaly_score(asked, v).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -706,42 +729,46 @@ def cosine_similarity(spark, sf):
 @query(
     """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
        u AS (SELECT vec_id, label, generate_subscripts(e, 1) AS pos, unnest(e) / sqrt(list_dot_product(e, e)) AS x FROM v),
-       c AS (SELECT label, pos, avg(x) AS x FROM u WHERE vec_id % 2 = 0 AND label < 4 GROUP BY 1, 2),
+       c AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2),
        cc AS (SELECT label, list(x ORDER BY pos) AS c FROM c GROUP BY 1),
        s AS (SELECT v.vec_id, cc.label, greatest(0, least(1, (list_cosine_similarity(v.e, cc.c) + 1) / 2)) AS s FROM v CROSS JOIN cc)
        SELECT vec_id, round(max(s), 6) AS ml_score, 'label-' || arg_max(label, s) AS ml_label FROM s GROUP BY 1"""
 )
 def anchor_scores(spark, sf):
     v = ft.read(spark, sf, "embeddings")
-    anchors = v.where((F.col("vec_id") % 2 == 0) & (F.col("label") < 4)).select(
-        F.concat(F.lit("label-"), "label").alias("label"), F.col("label").alias("rank"), "embedding"
-    )
+    anchors = v.select(F.concat(F.lit("label-"), "label").alias("label"), F.col("label").alias("rank"), "embedding")
     return ve.anchor_score(v, anchors).select("vec_id", F.round("ml_score", 6).alias("ml_score"), "ml_label")
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS length FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9_]')")
+@query(
+    """WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS word FROM documents),
+       n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
+       s AS (SELECT doc_id, count(*) AS words, sum(n) AS total, max(n) AS most FROM n GROUP BY 1)
+       SELECT doc_id, coalesce(words, 0)::BIGINT AS words, (words IS NOT NULL)::INTEGER::DOUBLE AS length FROM documents LEFT JOIN s USING (doc_id)"""
+)
 def vectorized_text(spark, sf):
-    v = ve.vectorize(ft.read(spark, sf, "documents").select("doc_id", "text"), "text", 128)
-    return v.where(F.col("text").rlike("[a-zA-Z0-9_]")).select("doc_id", F.round(ve.norm(F.col("embedding")), 4).alias("length"))
+    """All texts; with so many cells that words don't meet, a vector has one entry per word. Texts without words are zero."""
+    v = ve.vectorize(ft.read(spark, sf, "documents").select("doc_id", "text"), "text", 1 << 30, sparse=True)
+    return v.select("doc_id", F.size("embedding.indices").cast("bigint").alias("words"), F.round(F.sqrt(ve.dot(F.col("embedding.values"), F.col("embedding.values"))), 4).alias("length"))
 
 
 # --- detection --------------------------------------------------------------------------------------------------------
 
 
 def _scored_logs(spark, sf) -> DataFrame:
-    """Logs with the score of the vector their event id points to, over all vectors."""
-    v = ft.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    base = v.where(F.col("id").cast("int") % 2 == 0)
-    scores = ve.anomaly_score(v, base).select("id", F.round(F.col("score") * 1.35, 6).alias("score"))
+    """Logs with the score of the vector their event id points to: its distance to the nearest of all others."""
+    v = _all_vectors(spark, sf).select("id", "embedding")
+    scores = ve.anomaly_score(v, v, exclude_self=True).select("id", F.round(F.col("score") * 1.35, 6).alias("score"))
     n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
     logs = _logs(spark, sf).withColumn("id", (F.col("arrival_seq") % n).cast("string"))
-    return logs.join(scores, "id").drop("id")
+    # Every vector has thousands of logs, so logs don't move by it while the scores are small enough to be sent around.
+    return logs.join(broadcast_up_to(scores, v.count(), row_bytes=64), "id").drop("id")
 
 
 _SCORES = """
 vec AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 vs AS (SELECT q.vec_id, round(greatest(0, least(2, min(1 - list_dot_product(q.e, b.e) / (q.n * b.n)))) * 1.35, 6) AS score
-  FROM vec q JOIN vec b ON b.vec_id % 2 = 0 GROUP BY 1)"""
+  FROM vec q JOIN vec b ON q.vec_id <> b.vec_id GROUP BY 1)"""
 
 _DET = f"""
 det0 AS (
@@ -789,13 +816,17 @@ def detect_without_baseline(spark, sf):
 
 
 @query(
-    o.chain(o.CONV, select="""SELECT log_id, (length(text) % 40) / 100.0::DOUBLE > 0.3 AS is_anomaly FROM conv
-      UNION ALL SELECT 'evt-' || event_id, (length(event_type) % 4) / 4.0::DOUBLE > 0.9 FROM events WHERE false""")
+    o.chain(o.EV, o.CONV, select="""SELECT log_id, (length(text) %% 40) / 100.0::DOUBLE > 0.3 AS is_anomaly FROM conv
+      UNION ALL SELECT log_id, (length(message) %% 40) / 40.0::DOUBLE
+          > CASE WHEN bad THEN 0.90 WHEN benign THEN 0.99 WHEN level IN ('info', 'debug') THEN 0.98 WHEN level = 'warning' THEN 0.99 ELSE 0.95 END OR bad
+        FROM (SELECT *, NOT bad AND event IN (%s) AS benign FROM (SELECT *, event IN (%s) OR %s AS bad FROM rows_))"""
+      % (o._list(fixed.BENIGN_EVENTS), o._list(fixed.ANOMALY_TYPES), o._contains_any("lower(message)", fixed.BAD_TEXT_TOKENS)))
 )
 def threshold_by_protocol(spark, sf):
     cfg = Settings(anomaly_threshold=0.35, threshold_mcp=0.90, threshold_a2a=0.30)
-    scored = _messages(spark, sf).withColumn("score", (F.length("message_content") % 40) / 100.0)
-    return dt.detect_scored(scored, cfg).select("log_id", "is_anomaly")
+    messages = _messages(spark, sf).withColumn("score", (F.length("message_content") % 40) / 100.0)
+    logs = _logs(spark, sf).withColumn("score", (F.length("reasoning_step") % 40) / 40.0)
+    return dt.detect_scored(logs.unionByName(messages, allowMissingColumns=True), cfg).select("log_id", "is_anomaly")
 
 
 _KNOWN = o._list(fixed.TOOL_DOMAIN)
