@@ -22,11 +22,13 @@ from agentlog.operators import sampling as sm
 from agentlog.operators import session as se
 from agentlog.operators import signals as sg
 from agentlog.operators import stats as st
+from agentlog.operators import vectorindex as vi
 from agentlog.operators import vectors as ve
 from agentlog.plans import fromtables as ft
 from agentlog.plans import oracle as o
 from agentlog.plans import process as pr
 from agentlog.sources import jsonl, store
+from agentlog.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -716,6 +718,24 @@ def anomaly_scores_without_self(spark, sf):
     return ve.anomaly_score(v, v, exclude_self=True).select("id", F.round("score", 6).alias("score"))
 
 
+@query(
+    """SELECT count(*) AS indexed, count(*) FILTER (vec_id % 100 = 0) AS asked, true AS recalled, true AS cheaper FROM embeddings"""
+)
+def nearest_index_recall(spark, sf):
+    """Of the five nearest of every row whose id is divisible by 100, whether the index finds at least 0.9, looking at fewer
+    rows than there are pairs."""
+    v = _all_vectors(spark, sf).select("id", "vec_id", "embedding")
+    asked = _asked(v)
+    index = vi.build_index(v, scratch_path(spark, "index"))
+    flat = lambda df: df.select("id", F.explode("nearest.id").alias("hit"))
+    exact = flat(ve.nearest(asked, v, k=5, exclude_self=True)).groupBy("id", "hit").agg(F.lit(1).alias("wanted"))
+    found = flat(vi.nearest_indexed(asked, index, k=5, exclude_self=True)).withColumn("found", F.lit(1))
+    share = exact.join(found, ["id", "hit"], "left").agg((F.sum("found") >= 0.9 * F.sum("wanted")).alias("recalled"))
+    counts = index.rows.agg(F.count("*").alias("indexed"), F.count_if(F.col("id").cast("bigint") % 100 == 0).alias("asked"))
+    pairs = vi.compared_pairs(asked, index)
+    return counts.crossJoin(F.broadcast(share)).withColumn("cheaper", F.lit(pairs) < F.col("indexed") * F.col("asked"))
+
+
 @query(
     """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
        SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1"""
