@@ -13,9 +13,10 @@ So members are told by their differences from what most of the group shares:
 * Any other link needs a common difference, and as many of them as the excesses say. A member goes to buckets of its rarest
   differences only, so many that two members with enough in common meet.
 
-At most half of a group has any difference, as C holds what more than half of it has. So these buckets are smaller groups
-of the same kind, and there is a last level. Buckets of at most SMALL members have their pairs compared. A bucket whose
-members are in one component already is done; so are pairs within one.
+C is first the set of a member that most others are like, then what more than half of a group has. At most half of such a
+group has any difference, so buckets are smaller groups of the same kind, and there is a last level. Members of one
+component aren't compared with each other. Where at most SMALL / 2 members of a group aren't in its anchor's component,
+these are compared with the others at once; so are the pairs of a bucket of at most SMALL members.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from agentlog.llm.components import components
 
 SMALL = 16  # members of a bucket whose pairs may all be compared
 BLOCKS = 8  # of hash space, in which the overlap of two sets is added up
+SENT = 1 << 21  # ids that may be broadcast: 16 MB
 
 
 def _as_sets(lists: pa.Array) -> list[np.ndarray]:
@@ -82,9 +84,20 @@ def sizes_allow(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _only(sets: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """The sets of some ids, of which there are at most ``rows``: as long as these may be broadcast, others don't move."""
+    return sets.join(F.broadcast(ids) if rows <= SENT else ids, "rep", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) that are linked, by their whole sets."""
-    side = lambda end, name: sets.select(F.col("rep").alias(end), F.col("hashes").alias(name))
+    pairs = written(pairs, "pairs")
+    n = pairs.count()
+
+    def side(end: str, name: str) -> DataFrame:
+        own = _only(sets, pairs.select(F.col(end).alias("rep")).distinct(), n)
+        return own.select(F.col("rep").alias(end), F.col("hashes").alias(name))
+
     both = pairs.join(side("b", "hb"), "b").join(side("a", "ha"), "a")
     return written(both.where(_linked(percent)("ha", "hb")).select("a", "b"), "links")
 
@@ -93,11 +106,18 @@ def _labelled(links: DataFrame) -> DataFrame:
     return written(components(links), "labels").select(F.col("node").alias("rep"), "label")
 
 
-def _apart(few: DataFrame, percent: int, also: Column | bool = True) -> DataFrame:
-    """Pairs (a, b) of different components in small buckets, rows of ``few`` being (bucket, rep, n, label, out)."""
-    other = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("out").alias("ob"))
-    pairs = few.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("lb")) & also)
-    return pairs.where(sizes_allow(F.col("n"), F.col("nb"), percent)).select(F.col("rep").alias("a"), "b").distinct()
+def _apart(rows: DataFrame, others: DataFrame, on: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket. Rows (on, rep, n, label, odd, excess, left): of a pair one is
+    ``odd`` at least, and what the two have ``left`` to share is as much as their excesses ask for."""
+    names = {"rep": "b", "n": "nb", "label": "lb", "odd": "ob", "excess": "eb", "left": "rb"}
+    pairs = rows.join(others.select(on, *names).withColumnsRenamed(names), on).where((F.col("odd") | F.col("ob")) & (F.col("label") != F.col("lb")))
+    enough = 2 * (100 + percent) * F.least("left", "rb") >= F.col("excess") + F.col("eb")
+    pairs = pairs.where(enough & sizes_allow(F.col("n"), F.col("nb"), percent))
+    return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
+def _excess(diff: str, percent: int) -> Column:
+    return ((100 + percent) * F.size(diff) - (100 - percent) * F.col("n")).cast("bigint")
 
 
 def _differences(members: DataFrame, percent: int) -> DataFrame:
@@ -107,34 +127,32 @@ def _differences(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("group").agg(F.count("*").alias("size"))
     most = often.join(sizes, "group").where("2 * often > size").groupBy("group").agg(F.collect_list("token").alias("most"))
     diff = members.join(most, "group", "left").withColumn("diff", _xor()("base", "most"))
-    excess = (100 + percent) * F.size("diff") - (100 - percent) * F.col("n")
-    return written(diff.select("group", "rep", "n", "diff", excess.cast("bigint").alias("excess")), "differences")
+    return written(diff.select("group", "rep", "n", "diff", _excess("diff", percent).alias("excess")), "differences")
 
 
 def _sub_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (bucket, group, rep, n, label, out, size): a group's members by difference, only where members of several
-    components meet and one of them isn't linked to the group's anchor.
+    """Rows (bucket, group, rep, n, label, odd, excess, left, size): a group's members by difference, only where members of
+    several components meet, an odd one among them.
 
-    ``rows``: (group, rep, n, diff, excess, label, low, out) with ``low`` the least excess and ``out`` above -low. Two
-    members that aren't both linked to the anchor share at least (their excesses' sum) / 2 (100 + percent) differences.
+    ``rows``: (group, rep, n, diff, excess, label, odd, low, odd_low), ``low`` and ``odd_low`` being the least excess of
+    all and of the odd ones. Two members that aren't both linked to the anchor share at least (their excesses' sum) /
+    2 (100 + percent) differences. In the order of frequency, the same for all members of a group, one of these is among
+    the first of either; ``left`` is how many are from there on.
     """
-    ends = rows.groupBy("group").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.when(F.col("out"), F.col("excess"))).alias("out_low")
-    )
-    rows = rows.join(ends.where("x <> y AND out_low IS NOT NULL").select("group", "out_low"), "group")
-    partner = F.when(F.col("out"), F.col("low")).otherwise(F.col("out_low"))
+    partner = F.when(F.col("odd"), F.col("low")).otherwise(F.col("odd_low"))
     needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / F.lit(2 * (100 + percent))))
-    reach = (F.size("diff") - needed + 1).cast("bigint")
-    tokens = rows.select("group", "rep", "n", "label", "out", reach.alias("reach"), F.explode("diff").alias("token"))
-    tokens = written(tokens.where("reach > 0"), "differing")
-    often = tokens.groupBy("group", "token").agg(F.count("*").alias("often"))
-    # The order by frequency is the same for all members of a group; what only one member has is left out afterwards.
-    place = F.row_number().over(Window.partitionBy("group", "rep").orderBy("often", "token"))
-    near = tokens.join(often, ["group", "token"]).withColumn("place", place).where("place <= reach AND often > 1")
+    own = ["group", "rep", "n", "label", "odd", "excess"]
+    rows = rows.withColumn("width", F.size("diff")).withColumn("reach", (F.col("width") - needed + 1).cast("bigint"))
+    tokens = written(rows.where("reach > 0").select(*own, "width", "reach", F.explode("diff").alias("token")), "differing")
+    often = tokens.groupBy("group", "token").agg(F.count("*").alias("often")).where("often > 1")
+    # What only one member has comes first in its order and needs no bucket.
+    mine = Window.partitionBy("group", "rep")
+    place = F.col("width") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "token"))
+    near = tokens.join(often, ["group", "token"]).withColumn("place", place).where("place <= reach")
     name = F.md5(F.concat_ws("/", F.col("group"), F.col("token").cast("string")))
-    near = written(near.select(name.alias("bucket"), "group", "rep", "n", "label", "out"), "sharing")
+    near = written(near.select(name.alias("bucket"), *own, (F.col("width") - F.col("place") + 1).alias("left")), "sharing")
     use = near.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("out").alias("some")
+        F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("odd").alias("some")
     )
     return written(near.join(use.where("x <> y AND some").select("bucket", "size"), "bucket"), "sub")
 
@@ -160,24 +178,44 @@ def components_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
     named = written(named.join(ends, "bucket"), "divided")
     if named.isEmpty():
         return labels
-    few = named.where((F.col("size") <= SMALL) & (F.col("rep") != F.col("centre"))).withColumn("out", F.lit(True))
-    links = links.union(verified(_apart(few, percent), sets, percent))
-    large = named.where(F.col("size") > SMALL).select(F.col("centre").cast("string").alias("group"), "rep", "n").distinct()
-    large = written(large, "groups")
-    members = large.join(sets, "rep").select("group", "rep", "n", F.col("hashes").alias("base"))
-    while not large.isEmpty():
-        diffs = _differences(members, percent)
+    any_pair = {"odd": F.lit(True), "excess": F.lit(0), "left": F.lit(0)}
+    few = named.where((F.col("size") <= SMALL) & (F.col("rep") != F.col("centre"))).withColumns(any_pair)
+    links = links.union(verified(_apart(few, few.where(F.lit(True)), "bucket", percent).where("a < b"), sets, percent))
+    large = written(named.where(F.col("size") > SMALL).select("centre", "rep", "n").distinct(), "groups")
+    if large.isEmpty():
+        return _labelled(links)
+    n = large.count()
+    own = _only(sets, large.select("rep").distinct(), n).select("rep", F.col("hashes").alias("base"))
+    centre = _only(sets, large.select(F.col("centre").alias("rep")).distinct(), n).select(F.col("rep").alias("centre"), F.col("hashes").alias("most"))
+    diffs = large.join(own, "rep").join(centre, "centre").withColumn("diff", _xor()("base", "most"))
+    diffs = diffs.select(F.col("centre").cast("string").alias("group"), "rep", "n", "diff", _excess("diff", percent).alias("excess"))
+    diffs = written(diffs, "differences")
+    while True:
         anchors = diffs.groupBy("group").agg(
             F.min("excess").alias("low"), F.min_by("rep", F.struct("excess", "rep")).alias("anchor")
         )
-        diffs = written(diffs.join(anchors, "group").withColumn("out", F.col("excess") + F.col("low") > 0), "placed")
-        joined = diffs.where("NOT out AND rep <> anchor").select(F.col("anchor").alias("a"), F.col("rep").alias("b"))
-        links = written(links.union(joined.distinct()), "links")
+        diffs = written(diffs.join(anchors, "group"), "placed")
+        joined = diffs.where((F.col("excess") + F.col("low") <= 0) & (F.col("rep") != F.col("anchor")))
+        links = written(links.union(joined.select(F.col("anchor").alias("a"), F.col("rep").alias("b")).distinct()), "links")
         labels = _labelled(links)
-        rows = diffs.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        sub = _sub_buckets(written(rows, "placed"), percent)
-        links = links.union(verified(_apart(sub.where(F.col("size") <= SMALL), percent, F.col("out") | F.col("ob")), sets, percent))
+        main = labels.select(F.col("rep").alias("anchor"), F.col("label").alias("main"))
+        placed = diffs.join(labels, "rep", "left").join(main, "anchor", "left")
+        placed = placed.withColumn("label", F.coalesce("label", "rep"))
+        placed = placed.withColumn("odd", F.col("label") != F.coalesce("main", "anchor")).drop("main")
+        placed = written(placed.withColumn("left", F.size("diff")), "placed")
+        odd = placed.where("odd").groupBy("group").agg(F.count("*").alias("odds"), F.min("excess").alias("odd_low"))
+        placed = written(placed.join(odd, "group"), "open")
+        at_once = placed.where(F.col("odds") <= SMALL // 2)
+        found = verified(_apart(at_once.where("odd"), at_once, "group", percent), sets, percent)
+        links = links.union(found)
+        rest = placed.where(F.col("odds") > SMALL // 2)
+        if rest.isEmpty():
+            return _labelled(links)
+        sub = _sub_buckets(rest, percent)
+        small = sub.where(F.col("size") <= SMALL)
+        links = links.union(verified(_apart(small.where("odd"), small, "bucket", percent), sets, percent))
         large = sub.where(F.col("size") > SMALL)
-        members = large.join(diffs.select("group", "rep", F.col("diff").alias("base")), ["group", "rep"])
-        members = members.select(F.col("bucket").alias("group"), "rep", "n", "base")
-    return _labelled(links)
+        if large.isEmpty():
+            return _labelled(links)
+        members = large.select("bucket", "group", "rep", "n").join(diffs.select("group", "rep", F.col("diff").alias("base")), ["group", "rep"])
+        diffs = _differences(members.select(F.col("bucket").alias("group"), "rep", "n", "base"), percent)

@@ -126,7 +126,11 @@ def _whole_sets(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int
 def _labels(buckets: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(rep, label) of the components of all links between bucket mates; representatives without a link are left out."""
     ends = buckets.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket")
-    rows = written(buckets.join(ends, "bucket"), "members")
+    ends = written(ends, "shared")
+    # Most buckets have one member; a Bloom filter keeps their rows from the join.
+    bits = bloom.filter_bits(ends.count())
+    maybe = bloom.mark(buckets, "bucket", bloom.build(ends, "bucket", bits), bits, "maybe").where("maybe").drop("maybe")
+    rows = written(maybe.join(ends, "bucket"), "members")
     return families.components_within(rows, _whole_sets(rows, reps, docs, words), percent)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlog.config import DEFAULT, Settings
@@ -131,25 +131,39 @@ def delegation_edges(linked: DataFrame) -> DataFrame:
 # --- traversals -------------------------------------------------------------------------------------------------------
 
 
-def trace_rca(anomalies: DataFrame, edges: DataFrame) -> DataFrame:
+def _least(rows: DataFrame, key: str, order: list[str], k: int, name: str) -> DataFrame:
+    """Per key the k smallest rows as a sorted list of structs. Rows beyond the k-th go before the shuffle, so a key of any
+    number of rows gives a few per task."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= k)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+
+
+def trace_rca(anomalies: DataFrame, edges: DataFrame, mode: str = "shortest") -> DataFrame:
     """Root cause of each anomaly over CAUSED_BY edges in either direction.
 
-    The shortest path of up to three hops has one hop whenever there is any edge, so the neighbours decide; the
-    smallest id wins. The minimum per node combines on the map side.
+    ``shortest``: the shortest path of up to three hops has one hop whenever there is any edge, so the neighbours decide;
+    the smallest id wins. The minimum per node combines on the map side. ``deepest``: the path of most hops, up to three,
+    that visits no log twice; of several the one whose ids, from the anomaly on, are smallest.
     """
     caused = edges.where(F.col("type") == "CAUSED_BY")
     both = caused.select("src", "dst").unionByName(caused.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    root = both.groupBy(F.col("src").alias("log_id")).agg(F.min("dst").alias("_root"))
-    found = F.col("_root").isNotNull()
+    if mode == "deepest":
+        chains = _deepest(both.where("src <> dst").distinct())
+    elif mode == "shortest":
+        chains = both.groupBy("src").agg(F.array(F.min("dst")).alias("_chain"))
+    else:
+        raise ValueError("mode must be shortest or deepest")
+    chains = chains.withColumnRenamed("src", "log_id")
+    found = F.col("_chain").isNotNull()
     return (
         anomalies.select("log_id")
         .distinct()
-        .join(root, "log_id", "left")
+        .join(chains, "log_id", "left")
         .select(
             "log_id",
-            F.coalesce("_root", "log_id").alias("root_cause_log_id"),
-            F.when(found, F.array("log_id", "_root")).otherwise(F.array("log_id")).alias("causal_chain"),
-            F.when(found, 1).otherwise(0).alias("hop_count"),
+            F.coalesce(F.try_element_at("_chain", F.lit(-1)), F.col("log_id")).alias("root_cause_log_id"),
+            F.when(found, F.concat(F.array("log_id"), "_chain")).otherwise(F.array("log_id")).alias("causal_chain"),
+            F.when(found, F.size("_chain")).otherwise(0).alias("hop_count"),
             F.when(found, "Root cause identified from anomaly causal graph.")
             .otherwise("No explicit CAUSED_BY chain found; anomaly treated as root.")
             .alias("explanation"),
@@ -157,6 +171,46 @@ def trace_rca(anomalies: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _deepest(links: DataFrame) -> DataFrame:
+    """(src, _chain): per node the other nodes of its longest path, up to three; ``links`` has both directions of each.
+
+    No path is listed. A row per link knows what can follow it, and a node's best rows are enough for all that come to it:
+
+    * behind the link a-b come the smallest neighbours of b; two besides a are enough, as the node before a rules out one;
+    * for the links of a that go on in one way only, two per way and three ways are enough, as the node before a rules out
+      one way and one neighbour; of those that go on in two ways or more, two links are.
+    """
+    nearest = _least(links, "src", ["dst"], 3, "_next")
+    after = nearest.select(F.col("src").alias("dst"), "_next")
+    ahead = links.join(after, "dst", "left").select(
+        "src", "dst", F.slice(F.filter(F.transform("_next", lambda x: x.dst), lambda x: x != F.col("src")), 1, 2).alias("then")
+    )
+    many = _least(ahead.where(F.size("then") > 1), "src", ["dst", "then"], 2, "many")
+    single = ahead.where(F.size("then") == 1).withColumn("way", F.get("then", F.lit(0)))
+    inside = Window.partitionBy("src", "way").orderBy("dst")
+    single = single.withColumn("_n", F.row_number().over(inside)).where("_n <= 2")
+    ways = single.groupBy("src", "way").agg(F.min("dst").alias("first"), F.array_sort(F.collect_list(F.struct("dst", "then"))).alias("links"))
+    few = _least(ways, "src", ["first", "links"], 3, "few").select("src", F.flatten(F.transform("few", lambda w: w.links)).alias("few"))
+    none = F.array().cast("array<struct<dst:string,then:array<string>>>")
+    on = nearest.select("src", "_next").join(many, "src", "left").join(few, "src", "left")
+    on = on.select(F.col("src").alias("dst"), "_next", F.array_sort(F.concat(F.coalesce("many", none), F.coalesce("few", none))).alias("on"))
+    own = F.col("src")
+    three = F.filter(
+        F.transform("on", lambda o: F.struct(o.dst.alias("b"), F.get(F.filter(o.then, lambda x: x != own), F.lit(0)).alias("c"))),
+        lambda o: (o.b != own) & o.c.isNotNull(),
+    )
+    two = F.filter(F.transform("_next", lambda x: x.dst), lambda x: x != own)
+    third, second = F.try_element_at(three, F.lit(1)), F.try_element_at(two, F.lit(1))
+    chain = (
+        F.when(third.isNotNull(), F.array(F.col("dst"), third.b, third.c))
+        .when(second.isNotNull(), F.array(F.col("dst"), second))
+        .otherwise(F.array("dst"))
+    )
+    rows = links.join(on, "dst").select("src", chain.alias("_chain"))
+    best = rows.groupBy("src").agg(F.min(F.struct((-F.size("_chain")).alias("n"), F.col("_chain"))).alias("b"))
+    return best.select("src", F.col("b._chain").alias("_chain"))
+
+
 def delegation_trace(ids: DataFrame, edges: DataFrame, events: DataFrame, max_hops: int = 5) -> DataFrame:
     """Ancestors over DELEGATED_TO edges, one row per path of up to max_hops edges, no edge used twice.
 
@@ -187,29 +241,38 @@ def trigger_graph(ids: DataFrame, edges: DataFrame, vertices: DataFrame, max_hop
 
     One row per id: ``root_log_id``, ``nodes`` in path order with properties, ``edges``. Paths only run between
     anomalies, and no edge is used twice.
+
+    No path is listed: a row per edge knows the two smallest edges that can follow it, and a node's four smallest edges that
+    go on are enough for whatever edge comes to it, as that edge rules out itself and those two at most that lead back to
+    its own beginning. So each step has at most as many rows as there are edges.
     """
+    if not 1 <= max_hops <= 3:
+        raise ValueError("max_hops must be between 1 and 3")
     anomalies = vertices.where(F.col("kind") == "Anomaly")
     causal = edges.where(F.col("type").isin(CAUSAL_TYPES)).select("src", "dst", "type").distinct()
     end = anomalies.select(F.col("key").alias("dst"))
-    step = causal.join(end, "dst", "left_semi").select(
-        F.col("src").alias("_at"), F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type").alias("_e")
-    )
+    step = causal.join(end, "dst", "left_semi").select(F.col("src").alias("source"), F.col("dst").alias("target"), "type")
     path_type = "array<struct<source:string,target:string,type:string>>"
     start = ids.select("log_id").distinct()
     known = start.join(anomalies.select(F.col("key").alias("log_id")), "log_id", "left_semi")
-    paths = known.select("log_id", F.col("log_id").alias("_at"), F.array().cast(path_type).alias("path"))
-    for _ in range(max_hops):
-        longer = (
-            paths.join(step, "_at", "left")
-            .withColumn("_next", F.when(~F.array_contains(F.col("path"), F.col("_e")), F.col("_e")))
-            .select(
-                "log_id",
-                F.coalesce("_next.target", "_at").alias("_at"),
-                F.when(F.col("_next").isNotNull(), F.array_append("path", F.col("_next"))).otherwise(F.col("path")).alias("path"),
-            )
-        )
-        paths = longer
-    longest = paths.groupBy("log_id").agg(F.min(F.struct((-F.size("path")).alias("neg"), F.col("path"))).alias("b"))
+    edge = F.struct("source", "target", "type")
+    own = step.withColumn("e", edge)
+    out = _least(own.withColumn("at", F.col("source")), "at", ["e"], 3, "out").select("at", F.transform("out", lambda x: x.e).alias("out"))
+    follow = out.withColumnRenamed("at", "target")
+    ahead = own.join(follow, "target", "left").withColumn(
+        "then", F.slice(F.filter(F.coalesce("out", F.array().cast(path_type)), lambda x: x != F.col("e")), 1, 2)
+    )
+    going = _least(ahead.where(F.size("then") > 0).select(F.col("source").alias("at"), "e", "then"), "at", ["e", "then"], 4, "going")
+    rows = ahead.join(going.withColumnRenamed("at", "target"), "target", "left")
+    further = F.transform("going", lambda g: F.struct(g.e.alias("e2"), F.get(F.filter(g.then, lambda x: x != F.col("e")), F.lit(0)).alias("e3")))
+    further = F.try_element_at(F.filter(further, lambda g: (g.e2 != F.col("e")) & g.e3.isNotNull()), F.lit(1))
+    one, two = F.array("e"), F.array(F.col("e"), F.get("then", F.lit(0)))
+    path = F.when(F.size("then") > 0, two).otherwise(one) if max_hops > 1 else one
+    if max_hops > 2:
+        path = F.when(further.isNotNull(), F.array(F.col("e"), further.e2, further.e3)).otherwise(path)
+    rows = known.join(rows.select(F.col("source").alias("log_id"), path.cast(path_type).alias("path")), "log_id", "left")
+    rows = rows.withColumn("path", F.coalesce("path", F.array().cast(path_type)))
+    longest = rows.groupBy("log_id").agg(F.min(F.struct((-F.size("path")).alias("neg"), F.col("path"))).alias("b"))
     best = longest.select("log_id", F.col("b.path").alias("edges"))
     hops = best.select("log_id", "edges", F.posexplode(
         F.array_distinct(F.concat(F.array("log_id"), F.transform("edges", lambda e: e.target)))

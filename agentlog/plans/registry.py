@@ -63,6 +63,13 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return ft.a2a_logs(ft.read(spark, sf, "conversations"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table, as graphs are kept: several steps read them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _joined(c: str):
     return F.array_join(c, "|")
 
@@ -1167,6 +1174,39 @@ def root_cause_trace(spark, sf):
     return out.select("log_id", "root_cause_log_id", "hop_count", _joined("causal_chain").alias("chain"))
 
 
+# Paths that visit no log twice, longest first, then by ids; and a hub that 10,000 logs point to, with a tail.
+_HUB = """
+hub AS (SELECT src, dst FROM caused UNION ALL SELECT 'leaf-' || lpad(CAST(i AS VARCHAR), 5, '0'), 'hub' FROM range(10000) t(i)
+  UNION ALL SELECT * FROM (VALUES ('hub', 'a-tail-1'), ('a-tail-1', 'a-tail-2'), ('a-tail-2', 'leaf-00000')))"""
+
+
+def _with_hub(spark, edges: DataFrame) -> DataFrame:
+    leaf = F.concat(F.lit("leaf-"), F.lpad(F.col("id").cast("string"), 5, "0"))
+    star = spark.range(10_000).select(leaf.alias("src"), F.lit("hub").alias("dst"))
+    tail = spark.createDataFrame([("hub", "a-tail-1"), ("a-tail-1", "a-tail-2"), ("a-tail-2", "leaf-00000")], "src string, dst string")
+    return edges.unionByName(star.unionByName(tail).withColumn("type", F.lit("CAUSED_BY")), allowMissingColumns=True)
+
+
+@query(
+    o.chain(*_PROCS, _HINTS, _CAUSED, _HUB, """
+      u AS (SELECT src AS a, dst AS b FROM hub WHERE src <> dst UNION SELECT dst, src FROM hub WHERE src <> dst),
+      near AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM u),
+      starts AS (SELECT log_id FROM cl WHERE is_anomaly UNION SELECT 'hub' UNION SELECT 'a-tail-2' UNION SELECT 'leaf-' || lpad(CAST(i AS VARCHAR), 5, '0') FROM range(10000) t(i)),
+      walk AS (SELECT log_id, log_id AS at, [log_id] AS chain FROM starts
+        UNION ALL SELECT w.log_id, n.b, list_append(w.chain, n.b) FROM (SELECT * FROM walk WHERE len(chain) <= 3) w JOIN near n ON n.a = w.at AND n.r <= 12
+          WHERE NOT list_contains(w.chain, n.b)),
+      best AS (SELECT log_id, min({'n': -len(chain), 'c': chain}).c AS chain FROM walk GROUP BY 1)""",
+      select="SELECT log_id, chain[-1] AS root_cause_log_id, len(chain) - 1 AS hop_count, array_to_string(chain, '|') AS chain FROM best")
+    .replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def root_cause_deepest(spark, sf):
+    """Also over a hub of 10,000 logs; the statement follows the 12 smallest neighbours of a log, which is enough for it."""
+    edges = _stored(_with_hub(spark, _caused(spark, sf).select("src", "dst", "type")), "edges")
+    starts = _classified(spark, sf).where("is_anomaly").select("log_id").unionByName(edges.select(F.col("src").alias("log_id")).where("log_id LIKE 'leaf-%' OR log_id IN ('hub', 'a-tail-2')"))
+    out = gr.trace_rca(starts, edges, mode="deepest")
+    return out.select("log_id", "root_cause_log_id", "hop_count", _joined("causal_chain").alias("chain"))
+
+
 @query(
     o.chain(*_PROCS, _HINTS, """
       t3 AS (SELECT c.log_id, h1.dst AS d1, h2.dst AS d2, h3.dst AS d3 FROM cl c LEFT JOIN hints h1 ON h1.src = c.log_id
@@ -1176,8 +1216,8 @@ def root_cause_trace(spark, sf):
 )
 def trigger_graph(spark, sf):
     rows = _classified(spark, sf)
-    edges = gr.causal_edges(gr.with_previous(rows))
-    out = gr.trigger_graph(rows.where("is_anomaly"), edges, gr.graph_vertices(rows))
+    edges = _stored(gr.causal_edges(gr.with_previous(rows)), "edges")
+    out = gr.trigger_graph(rows.where("is_anomaly"), edges, _stored(gr.graph_vertices(rows), "vertices"))
     return out.select("log_id", "root_log_id", _joined("nodes.id").alias("nodes"), F.size("edges").alias("n_edges"))
 
 

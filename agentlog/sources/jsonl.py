@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlog.functions import jsontext as js
 from agentlog.functions.lookups import stripped
-from agentlog.functions.plan import computed_once
+from agentlog.functions.plan import broadcast_up_to, computed_once
 from agentlog.operators.normalize import normalize_all
 
 LOGS_ONLY_MCP = "Only MCP logs are supported by this endpoint"
@@ -20,25 +20,53 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return text.where(ok), text.where(~ok)
 
 
+POSITION_BITS = 42  # a file's place among all is above them: files up to 4 TB, 2 million of them
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+
+
+def line_position() -> Column:
+    """A number that grows with the lines of a file read as plain text.
+
+    It is the first byte of the line's block plus the number of lines that the task has read before. A task reads no more
+    bytes than a block may have, and a line has one at least, so the sum stays below the next block's first byte.
+    """
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files with ``source`` and an ``arrival_seq`` that follows file and line order.
 
-    Sequence numbers are given while scanning: file name order, then position. Where the records carry their own
-    sequence (an offset, an event id), use that instead.
+    One scan: a line's number is the rank of its file by name, from the listing that Spark makes anyway, and its position.
+    The listing is joined by broadcast while it is small enough. Compressed files can have more lines than bytes;
+    their lines are numbered by block, which takes a scan for the list of blocks.
+
+    Where the records carry their own sequence (an offset, an event id), use that instead.
     """
-    text = spark.read.text(path).select(
+    text = spark.read.text(path)
+    files = sorted(text.inputFiles())
+    if any(f.endswith(COMPRESSED) for f in files):
+        return _ranked_by_block(text)
+    rows = text.select("value", F.input_file_name().alias("source"), line_position().alias("_at"))
+    ranks = spark.createDataFrame(list(enumerate(files)) or [(0, "")], "_file bigint, source string")
+    listed = broadcast_up_to(ranks, len(files), row_bytes=max(map(len, files), default=0) + 16)
+    seq = F.shiftleft("_file", POSITION_BITS) + F.col("_at")
+    return rows.join(listed, "source").select("value", "source", seq.alias("arrival_seq"))
+
+
+def _ranked_by_block(text: DataFrame) -> DataFrame:
+    rows = text.select(
         "value",
         F.input_file_name().alias("source"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
     # Rank of the file block among all blocks: one row per block, not per line.
-    blocks = text.select("source", "_block").distinct()
+    blocks = rows.select("source", "_block").distinct()
     order = Window.orderBy("source", "_block")
     numbered = blocks.select("source", "_block", (F.row_number().over(order) - 1).alias("_b"))
     # Within a block, the scan numbers rows in ascending order.
     return (
-        text.join(F.broadcast(numbered), ["source", "_block"])
+        rows.join(numbered, ["source", "_block"])
         .withColumn("arrival_seq", F.shiftleft(F.col("_b").cast("bigint"), 33) + F.col("_row").bitwiseAND((1 << 33) - 1))
         .select("value", "source", "arrival_seq")
     )

@@ -6,12 +6,14 @@ only attaches ``w`` and ``prev``; everything after it is the same column code th
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from agentlog.config import DEFAULT, Settings
 from agentlog.operators import detect as dt
@@ -21,56 +23,121 @@ from agentlog.operators.classify import classify
 from agentlog.sources.store import upsert_processed
 
 _FIELDS = ["log_id", "seq", "us", "event", "tool", "request_id", "is_warning", "warned_limit", "is_503"]
-_STATE = f"w {session.WINDOW_SCHEMA}, us bigint, neg_seq bigint, log_id string"
 _PREV = "struct<us:bigint,neg_seq:bigint,log_id:string>"
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IN_MEMORY = 20_000  # rows of a session and micro-batch that are sorted in memory; more are merged from the store
+PART = 1_000  # rows that are stored, read back and given out at a time
+
+
+class SessionState(StatefulProcessor):
+    """Gives each row of a session what earlier rows left: ``w``, the last MCP rows, and ``prev``, the latest log.
+
+    The rows of a micro-batch come in pieces in no order. Up to IN_MEMORY rows are sorted and go into the store as a run,
+    in parts; at the end the runs are merged with one part of each in memory. So memory follows the number of
+    runs, not the number of rows.
+    """
+
+    def __init__(self, plain: list[str], n: int, ttl_ms: int | None):
+        self.plain, self.n, self.ttl_ms = plain, n, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", _element()[len("struct<") : -1].replace(":", " "), self.ttl_ms)
+        self.latest = handle.getValueState("latest", "us bigint, neg_seq bigint, log_id string", self.ttl_ms)
+        self.runs = handle.getMapState("runs", "run int, part int", "rows binary")
+
+    def _stored(self, run: int, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("arrival_seq", kind="stable")
+        for part, start in enumerate(range(0, len(rows), PART)):
+            self.runs.updateValue((run, part), (pickle.dumps(rows.iloc[start : start + PART]),))
+
+    def _read(self, run: int) -> Iterator[tuple]:
+        part = 0
+        while self.runs.containsKey((run, part)):
+            rows = pickle.loads(self.runs.getValue((run, part))[0])
+            self.runs.removeKey((run, part))
+            yield from ((row[0], run, row[1:]) for row in zip(rows["arrival_seq"], *(rows[c] for c in rows.columns)))
+            part += 1
+
+    def _ordered(self, pieces: Iterator[pd.DataFrame]) -> tuple[list[str], Iterator[tuple]]:
+        names = [*self.plain, "_record", "_us"]
+        held, size, run = [], 0, 0
+        for piece in pieces:
+            piece.columns = names  # those that are no identifiers come under other names
+            held.append(piece)
+            size += len(piece)
+            if size >= IN_MEMORY:
+                self._stored(run, pd.concat(held))
+                held, size, run = [], 0, run + 1
+        if not run:
+            rows = pd.concat(held).sort_values("arrival_seq", kind="stable")
+            return names, zip(*(rows[c] for c in names))
+        if held:
+            self._stored(run, pd.concat(held))
+            run += 1
+        merged = heapq.merge(*(self._read(i) for i in range(run)), key=lambda r: r[:2])
+        return names, (row for _, _, row in merged)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent = [dict(zip(_FIELDS, r, strict=True)) for r in self.recent.get()]
+        latest = tuple(self.latest.get()) if self.latest.exists() else None
+        names, ordered = self._ordered(rows)
+        at = {c: names.index(c) for c in ("_record", "arrival_seq", "_us", "log_id")}
+        out = {c: names.index(c) for c in self.plain}
+        done, windows, previous = [], [], []
+
+        def given() -> pd.DataFrame:
+            frame = pd.DataFrame({c: pd.Series([r[i] for r in done]) for c, i in out.items()})
+            frame["w"], frame["prev"] = pd.Series(windows), pd.Series(previous)
+            return frame
+
+        for row in ordered:
+            windows.append(list(recent))
+            previous.append(dict(zip(("us", "neg_seq", "log_id"), latest, strict=True)) if latest else None)
+            done.append(row)
+            record = row[at["_record"]]
+            if record is not None:
+                record = record.asDict() if hasattr(record, "asDict") else dict(record)
+                recent = [*recent, record][-self.n :]
+            now = (int(row[at["_us"]]), -int(row[at["arrival_seq"]]), row[at["log_id"]])
+            latest = now if latest is None else max(latest, now)
+            if len(done) == PART:
+                yield given()
+                done, windows, previous = [], [], []
+        if done:
+            yield given()
+        if recent:  # the store takes no empty list
+            self.recent.put([tuple(r[f] for f in _FIELDS) for r in recent])
+        self.latest.update(latest)
+
+    def close(self) -> None:
+        pass
+
+
 def with_session_state(
     rows: DataFrame, cfg: Settings = DEFAULT, ttl: str | None = None, window: bool = True
 ) -> DataFrame:
     """Add ``w`` and ``prev`` to a stream.
 
-    Rows of a micro-batch are taken in arrival order. ``ttl`` (such as ``"1 hour"``) forgets sessions that stay silent.
-    The size of a micro-batch, which the source limits, bounds what one session brings into memory.
+    Rows of a micro-batch are taken in arrival order. State is kept in RocksDB, which is set for the session, as
+    the step needs it. ``ttl`` (such as ``"1 hour"``) forgets sessions that stay silent. A session of any size in one
+    micro-batch takes bounded memory, see ``SessionState``.
     """
-    n = cfg.window_rows
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     tagged = rows.withColumn("_record", session.window_record() if window else F.lit(None).cast(_element()))
     plain = [c for c in tagged.columns if c != "_record"]
     schema = ", ".join(f"`{c}` {tagged.schema[c].dataType.simpleString()}" for c in plain)
-    out_schema = f"{schema}, w {session.WINDOW_SCHEMA}, prev {_PREV}"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values("arrival_seq", kind="stable")
-        recent, latest = [], None
-        if state.exists:
-            recent, us, neg_seq, log_id = state.get
-            recent = [dict(zip(_FIELDS, r)) if not isinstance(r, dict) else r for r in (recent or [])]
-            latest = (us, neg_seq, log_id) if log_id is not None else None
-        windows, previous = [], []
-        for record, seq, us, log_id in zip(pdf["_record"], pdf["arrival_seq"], pdf["_us"], pdf["log_id"]):
-            windows.append(list(recent))
-            previous.append(dict(zip(("us", "neg_seq", "log_id"), latest)) if latest else None)
-            if record is not None:
-                recent = (recent + [record])[-n:]
-            now = (int(us), -int(seq), log_id)
-            latest = now if latest is None else max(latest, now)
-        state.update(([tuple(r[f] for f in _FIELDS) for r in recent], *latest))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        out = pdf[plain].copy()
-        out["w"] = windows
-        out["prev"] = previous
-        yield out
-
     return (
         tagged.withColumn("_us", F.unix_micros("ts"))
         .groupBy("session_id")
-        .applyInPandasWithState(advance, out_schema, _STATE, "append", timeout)
+        .transformWithStateInPandas(
+            SessionState(plain, cfg.window_rows, ttl_ms),
+            outputStructType=f"{schema}, w {session.WINDOW_SCHEMA}, prev {_PREV}",
+            outputMode="Append",
+            timeMode="ProcessingTime" if ttl else "None",
+        )
     )
 
 
@@ -96,7 +163,12 @@ def stream_findings(
 
 def stream_processed(scored: DataFrame, cfg: Settings = DEFAULT, ttl: str | None = None) -> DataFrame:
     """Detected, classified and linked logs of a stream that carries ``score``."""
-    judged = classify(dt.detect_scored(scored, cfg))
+    return stream_judged(dt.detect_scored(scored, cfg), cfg, ttl)
+
+
+def stream_judged(detected: DataFrame, cfg: Settings = DEFAULT, ttl: str | None = None) -> DataFrame:
+    """``stream_processed`` for logs that carry the columns of the detection already."""
+    judged = classify(detected)
     flat = judged.withColumn("classification", F.to_json("classification"))
     linked = with_session_state(flat, cfg, ttl, window=False).drop("w")
     schema = "anomaly_type string, confidence double, method string, reasoning string"

@@ -1,12 +1,15 @@
 """A stream cut into files gives what the batch gives."""
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from agentlog.operators import findings as fd
+from agentlog.operators import vectors as ve
 from agentlog.plans import fromtables as ft
 from agentlog.plans.process import process_scored
-from agentlog.sources import store
-from agentlog.streaming import sessions
+from agentlog.sources import jsonl, store
+from agentlog.streaming import ingest, sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,101 @@ def test_stream_processing_equals_batch_through_the_sink(spark, tmp_path):
     as_set = lambda df: {tuple(r) for r in df.select(*cols).collect()}
     batch = process_scored(scored)
     assert as_set(got) == as_set(batch) and got.count() == logs.count()
+
+
+def raw_lines(spark):
+    """Raw records of both protocols with damage, as text."""
+    events = ft.read(spark, SF, "events")
+    raw = ft.raw_records(events).select("arrival_seq", F.col("raw").alias("value"))
+    broken = F.when(F.col("arrival_seq") % 13 == 0, F.expr("substring(value, 1, 40)")).when(F.col("arrival_seq") % 17 == 0, "  ")
+    mcp = raw.select("arrival_seq", F.coalesce(broken, "value").alias("value"))
+    a2a = ft.raw_messages(ft.read(spark, SF, "conversations")).select((F.col("arrival_seq") + 1_000_000).alias("arrival_seq"), F.col("raw").alias("value"))
+    return mcp.unionByName(a2a)
+
+
+def as_files(spark, lines, path, parts=3):
+    """Numbered text files, in order."""
+    rows = [r.value for r in lines.orderBy("arrival_seq").collect()]
+    path.mkdir()
+    for i in range(parts):
+        part = rows[i * len(rows) // parts : (i + 1) * len(rows) // parts]
+        (path / f"part-{i:03d}.jsonl").write_text("\n".join(part) + "\n")
+
+
+def known(df, columns):
+    """Rows by arrival; ids that are made up for records without one differ from run to run."""
+    return {r.arrival_seq: tuple(r)[1:] for r in df.select("arrival_seq", *columns).collect()}
+
+
+def test_stream_from_raw_lines_equals_batch(spark, tmp_path):
+    as_files(spark, raw_lines(spark), tmp_path / "in")
+    stream = ingest.line_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    found, _, bad = ingest.line_findings(stream)
+    drain(found, str(tmp_path / "found"), str(tmp_path / "c1"))
+    drain(bad, str(tmp_path / "bad"), str(tmp_path / "c2"))
+    batch = jsonl.read_lines(spark, str(tmp_path / "in"))
+    logs, quarantine = ingest.split_lines(batch)
+    assert batch.select("arrival_seq").distinct().count() == batch.count()
+    columns = ["session_id", "subtype", "confidence", "tool", "event", "context_rule_ids"]
+    got, want = spark.read.parquet(str(tmp_path / "found")), fd.analyze(logs)
+    assert known(got, columns) == known(want, columns) and want.count() > 50
+    got = {(r.arrival_seq, r.raw, tuple(r.errors)) for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert got == {(r.arrival_seq, r.raw, tuple(r.errors)) for r in quarantine.collect()} and len(got) > 50
+
+
+def test_stream_is_scored_against_a_static_baseline(spark, tmp_path):
+    as_files(spark, raw_lines(spark), tmp_path / "in")
+    logs, bad = ingest.split_lines(jsonl.read_lines(spark, str(tmp_path / "in")))
+    encoded = ve.vectorize(logs.where("arrival_seq % 3 = 0").withColumn("id", F.col("arrival_seq").cast("string")))
+    baseline = encoded.select("id", "embedding").limit(400).cache()
+    assert baseline.count() == 400
+    stream = ingest.line_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    for q in ingest.ingest(stream, str(tmp_path / "table"), str(tmp_path / "bad"), baseline, str(tmp_path / "c")):
+        q.awaitTermination()
+    got = store.current_rows(spark, str(tmp_path / "table"))
+    want = process_scored(ingest.scored_logs(logs, baseline))
+    rounded = [F.round("anomaly_score", 6).alias("s"), "is_anomaly", "classification.anomaly_type"]
+    assert known(got, rounded) == known(want, rounded)
+    assert {r.s for r in got.select(*rounded).distinct().collect()} > {0.0}
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == bad.count()
+    # Too small a baseline: everything is normal.
+    few, _ = ingest.processed_lines(stream, baseline.limit(5))
+    sessions.upsert_stream(few, str(tmp_path / "few"), str(tmp_path / "c3")).awaitTermination()
+    assert store.current_rows(spark, str(tmp_path / "few")).where("is_anomaly").isEmpty()
+
+
+def test_a_large_session_is_merged_from_the_store(spark, tmp_path, monkeypatch):
+    """One session in one micro-batch, many times what is sorted in memory, in no order."""
+    monkeypatch.setattr(sessions, "IN_MEMORY", 300)
+    monkeypatch.setattr(sessions, "PART", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        logs = ft.agent_logs(ft.read(spark, SF, "events"), shuffled=True).withColumn("session_id", F.lit("one"))
+        stream = cut(spark, logs.orderBy(F.rand(3)), str(tmp_path / "in"), "arrival_seq", parts=1)
+        found, _ = sessions.stream_findings(stream, ttl="1 hour")
+        drain(found, str(tmp_path / "out"), str(tmp_path / "c"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ["subtype", "confidence", "correlated_log_ids", "context_rule_ids"]
+    want = fd.to_findings(fd.judged_rows(logs).drop("back_links"))
+    assert known(spark.read.parquet(str(tmp_path / "out")), columns) == known(want, columns) and logs.count() > 900
+
+
+def test_line_numbers_follow_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "a b%"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"f{i}.txt").write_text("".join(f"{i}-{j:05d}\n" for j in range(3000)))
+    conf = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "100", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for packed in (False, True):
+            if packed:
+                (folder / "f9.txt.gz").write_bytes(gzip.compress(b"9-00000\n" * 50_000))
+            rows = jsonl.read_lines(spark, str(folder)).orderBy("arrival_seq").collect()
+            assert [r.value for r in rows] == sorted(r.value for r in rows) and len(rows) == 12_000 + 50_000 * packed
+            assert len({r.arrival_seq for r in rows}) == len(rows)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
