@@ -5,7 +5,7 @@ Input: ``raw STRING`` (one JSON object) and ``arrival_seq BIGINT``. Rejected row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from agentlog.functions import dictionaries as fixed
@@ -491,6 +491,17 @@ def normalize(df: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame
     return as_logs(logs), rejected
 
 
+def failing_rows(df: DataFrame, path: str, by: str = "source", strict: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """(failing rows, totals) from one scan: rows that don't fit the schema are written to ``path`` as (``by``, arrival_seq,
+    raw, errors) while ``total`` and ``failures`` are counted."""
+    counts = Observation()
+    checked = normalize_all(df, strict, carry=[by])
+    bad = F.size("errors") > 0
+    seen = checked.observe(counts, F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("failures"))
+    seen.where(bad).select(by, "arrival_seq", "raw", "errors").write.parquet(path)
+    return df.sparkSession.read.parquet(path), dict(counts.get)
+
+
 def validation_report(df: DataFrame, by: str = "source", strict: bool = True, samples: int | None = None) -> DataFrame:
     """Rows and failures per source. With ``samples``, only the first rows of each source are looked at."""
     rows = df

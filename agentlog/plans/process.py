@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from agentlog.operators import classify as cl
 from agentlog.operators import findings as fd
 from agentlog.operators import graph
 from agentlog.operators.detect import detect, detect_scored
+from agentlog.operators.normalize import as_logs, normalize_all
+from agentlog.operators.vectors import vectorize
 
 
 def process(
@@ -50,6 +54,30 @@ def link_and_explain(classified: DataFrame, caused_by: DataFrame | None, cfg: Se
     return rows.withColumn("explanation", F.when(F.col("is_anomaly"), text))
 
 
+def analyze_raw_group(
+    raw: DataFrame, baseline: DataFrame, encode: Callable[[DataFrame], DataFrame] = vectorize, cfg: Settings = DEFAULT
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, failures, summary) of raw records of both protocols.
+
+    Records that can't be normalized are kept as ``arrival_seq, raw, errors``; the others are analysed as a group. The
+    summary has one row: logs, failures, anomalies, their density in percent, and anomalies per type as type -> count.
+    ``encode`` adds the ``embedding`` that the baseline is searched with.
+    """
+    checked = normalize_all(raw)
+    bad = F.size("errors") > 0
+    failures = checked.where(bad).select("arrival_seq", "raw", "errors")
+    rows = analyze_group(encode(as_logs(checked.where(~bad))), baseline, cfg)
+    kinds = rows.where("is_anomaly").groupBy(F.coalesce("anomaly_type", F.lit("UNKNOWN")).alias("type"))
+    kinds = kinds.agg(F.count(F.lit(1)).alias("n"))
+    by_type = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
+    counts = rows.agg(F.count(F.lit(1)).alias("logs"), F.count_if("is_anomaly").alias("anomalies"))
+    failed = failures.agg(F.count(F.lit(1)).alias("failures"))
+    density = F.when(F.col("logs") > 0, F.round(F.col("anomalies") / F.col("logs") * 100, 2)).otherwise(0.0)
+    # One row each.
+    summary = counts.crossJoin(failed).crossJoin(by_type).withColumn("anomaly_density_pct", density)
+    return rows, failures, summary
+
+
 def analyze_group(
     logs: DataFrame, baseline: DataFrame | None = None, cfg: Settings = DEFAULT
 ) -> DataFrame:

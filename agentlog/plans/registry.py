@@ -232,6 +232,21 @@ def validation_report(spark, sf):
     return nz.validation_report(rows)
 
 
+@query(
+    o.chain(o.RAW, select="""SELECT arrival_seq, 'file-' || event_id % 5 AS source, (SELECT count(*) FROM norm) AS total,
+      count(*) OVER () AS failures, CASE WHEN variant <> 14 THEN n_errors END AS errors FROM norm WHERE n_errors <> '' OR variant = 14""")
+)
+def validation_failures(spark, sf):
+    """The failing rows and the totals of one scan; a legacy record breaks many rules."""
+    rows = _raw(spark, sf).withColumn("source", F.concat(F.lit("file-"), F.col("arrival_seq") % 5))
+    bad, counts = nz.failing_rows(rows, scratch_path(spark, "failing"))
+    legacy = F.col("arrival_seq") % ft.RAW_VARIANTS == 14
+    return bad.select(
+        "arrival_seq", "source", F.lit(counts["total"]).cast("bigint").alias("total"),
+        F.lit(counts["failures"]).cast("bigint").alias("failures"), F.when(~legacy, _joined("errors")).alias("errors"),
+    )
+
+
 @query(
     """SELECT 'u' || user_id || '-' || event_type AS log_id, max(event_id) AS arrival_seq,
          arg_max(value, event_id) AS value FROM events GROUP BY 1"""
@@ -698,21 +713,26 @@ def nearest_vectors_cells(spark, sf):
     return _neighbours(ve.nearest(_asked(v), v, k=5, cfg=Settings(baseline_broadcast_bytes=0), exclude_self=True))
 
 
-@query(
-    o.chain(_VEC, """mid0 AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda p: p[1] / a.n - 0.5 * p[2] / b.n) AS e
-        FROM vec a JOIN vec b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vec)),
-      mid AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM mid0)""",
-      select="""SELECT CAST(q.vec_id AS VARCHAR) AS id, round(greatest(0, least(2, min(1 - list_dot_product(q.e, b.e) / (q.n * b.n)))), 6) AS score
-      FROM mid q CROSS JOIN vec b GROUP BY 1""")
-)
-def anomaly_scores(spark, sf):
-    """Vectors that aren't in the baseline, each the difference of two of the table, against all of its rows."""
+_MID = """
+mid0 AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda p: p[1] / a.n - 0.5 * p[2] / b.n) AS e
+  FROM vec a JOIN vec b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vec)),
+mid AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM mid0),
+vs AS (SELECT q.vec_id, greatest(0, least(2, min(1 - list_dot_product(q.e, b.e) / (q.n * b.n)))) AS score FROM mid q CROSS JOIN vec b GROUP BY 1)"""
+
+
+def _between(spark, sf) -> DataFrame:
+    """(id, embedding): vectors that aren't in the table, each the difference of two that are."""
     v = _all_vectors(spark, sf)
     n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
     after = v.select(F.pmod(F.col("vec_id") - 1, n).alias("vec_id"), ve.unit(F.col("embedding")).alias("next"))
     both = v.select("vec_id", "id", ve.unit(F.col("embedding")).alias("own")).join(after, "vec_id")
-    asked = both.select("id", F.zip_with("own", "next", lambda x, y: x - 0.5 * y).alias("embedding"))
-    return ve.anomaly_score(asked, v).select("id", F.round("score", 6).alias("score"))
+    return both.select("id", F.zip_with("own", "next", lambda x, y: x - 0.5 * y).alias("embedding"))
+
+
+@query(o.chain(_VEC, _MID, select="SELECT CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score FROM vs"))
+def anomaly_scores(spark, sf):
+    """Vectors that aren't in the baseline against all of its rows."""
+    return ve.anomaly_score(_between(spark, sf), _all_vectors(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -820,6 +840,30 @@ def detect_logs(spark, sf):
     )
 
 
+def _with_vectors(spark, sf, logs: DataFrame) -> DataFrame:
+    """Logs with the ``embedding`` that their arrival number points to."""
+    vectors = _between(spark, sf).select(F.col("id").alias("_id"), "embedding")
+    size = ve.baseline_size(vectors)
+    at = F.pmod(F.col("arrival_seq"), F.lit(size.rows)).cast("string")
+    return logs.join(broadcast_up_to(vectors, size.rows, 8 * size.dim), at == F.col("_id")).drop("_id")
+
+
+_WITH_BASELINE = (o.EV, _VEC, _MID, _DET)
+
+
+@query(
+    o.chain(*_WITH_BASELINE, select="""SELECT log_id, is_anomaly, bad AS rule_lane_triggered, threshold, round(score, 6) AS score,
+      round(conf, 6) AS confidence FROM dd""")
+)
+def detect_with_baseline(spark, sf):
+    """Logs with vectors, scored against every vector of the table."""
+    out = dt.detect(_with_vectors(spark, sf, _logs(spark, sf)), _all_vectors(spark, sf).select("id", "embedding"))
+    return out.select(
+        "log_id", "is_anomaly", "rule_lane_triggered", F.col("embedding_lane_threshold").alias("threshold"),
+        F.round("anomaly_score", 6).alias("score"), F.round("detect_confidence", 6).alias("confidence"),
+    )
+
+
 def _mode(mode: str, shadow: bool) -> Query:
     cfg = Settings(decision_mode=mode, shadow_mode=shadow)
     return lambda spark, sf: dt.detect_scored(_scored_logs(spark, sf), cfg).select("log_id", "is_anomaly", "arbitration_mode")
@@ -949,6 +993,51 @@ def process_logs(spark, sf):
     )
 
 
+@query(
+    o.chain(*_WITH_BASELINE, _CLS, _PROC, select="""SELECT log_id, is_anomaly, anomaly_type, p.id AS previous,
+      CASE WHEN is_anomaly THEN log_id END AS root_cause_log_id FROM proc""")
+)
+def process_with_baseline(spark, sf):
+    out = pr.process(_with_vectors(spark, sf, _logs(spark, sf)), _all_vectors(spark, sf).select("id", "embedding"))
+    return out.select("log_id", "is_anomaly", "classification.anomaly_type", F.col("prev.log_id").alias("previous"), "root_cause_log_id")
+
+
+_A2A_JUDGED = """
+msg AS (
+  SELECT c.*, vs.score, vs.score > 0.2 AS is_anomaly FROM conv c JOIN vs ON vs.vec_id = c.arrival_seq % (SELECT count(*) FROM embeddings)),
+group_rows AS (
+  SELECT log_id, is_anomaly, anomaly_type, score FROM cl
+  UNION ALL SELECT log_id, is_anomaly, CASE WHEN NOT is_anomaly THEN NULL WHEN response_status IN ('partial', 'success') THEN 'CONTEXT_POISONING'
+    WHEN depth >= 3 AND response_status = 'error' THEN 'DELEGATION_CHAIN_FAILURE' END, score FROM msg)"""
+
+
+@query(
+    o.chain(*_WITH_BASELINE, _CLS, o.CONV, _A2A_JUDGED, select="""SELECT log_id, is_anomaly, anomaly_type, round(score, 6) AS anomaly_score,
+      CASE WHEN is_anomaly THEN log_id END AS root_cause_log_id FROM group_rows""")
+)
+def group_analysis_mixed(spark, sf):
+    """Logs of both protocols: detection and classification row by row."""
+    rows = _logs(spark, sf).unionByName(_messages(spark, sf), allowMissingColumns=True)
+    out = pr.analyze_group(_with_vectors(spark, sf, rows), _all_vectors(spark, sf).select("id", "embedding"))
+    return out.select("log_id", "is_anomaly", "anomaly_type", F.round("anomaly_score", 6).alias("anomaly_score"), "root_cause_log_id")
+
+
+@query(
+    o.chain(o.RAW, o.CONV, select="""SELECT arrival_seq, 'MCP' AS protocol, n_errors AS errors FROM norm WHERE n_errors <> ''
+      UNION ALL SELECT -1 - arrival_seq, 'A2A', errors FROM (SELECT arrival_seq, CASE (conv_id + turn) % 9 WHEN 1 THEN 'session_id' WHEN 2 THEN 'target_agent'
+        WHEN 3 THEN 'delegation_depth|delegation_chain length' WHEN 4 THEN CASE WHEN depth >= 2 THEN 'delegation_chain length' ELSE '' END
+        WHEN 5 THEN 'response_status' WHEN 6 THEN 'latency_ms' ELSE '' END AS errors FROM conv) WHERE errors <> ''""")
+)
+def group_failures(spark, sf):
+    """What a mixed group of raw records can't be read from, kept with its errors."""
+    mcp = _raw(spark, sf).select("arrival_seq", "raw")
+    a2a = ft.raw_messages(ft.read(spark, sf, "conversations")).select((-1 - F.col("arrival_seq")).alias("arrival_seq"), "raw")
+    encode = lambda logs: _with_vectors(spark, sf, logs)
+    _, failures, _ = pr.analyze_raw_group(mcp.unionByName(a2a), _all_vectors(spark, sf).select("id", "embedding"), encode)
+    kind = F.when(F.col("arrival_seq") < 0, "A2A").otherwise("MCP")
+    return failures.select("arrival_seq", kind.alias("protocol"), _joined("errors").alias("errors"))
+
+
 @query(
     o.chain(*_CLASSES, """t AS (SELECT coalesce(anomaly_type, 'None') || '=' || count(*) AS pair FROM cl WHERE is_anomaly GROUP BY anomaly_type)""",
       select="""SELECT count(*) AS total_logs, count(*) FILTER (is_anomaly) AS anomaly_count,
