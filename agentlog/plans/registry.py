@@ -27,7 +27,7 @@ from agentlog.operators import vectors as ve
 from agentlog.plans import fromtables as ft
 from agentlog.plans import oracle as o
 from agentlog.plans import process as pr
-from agentlog.sources import jsonl, store
+from agentlog.sources import jsonl, reports, store
 from agentlog.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,7 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table, as graphs are kept: several steps read them."""
     path = scratch_path(df.sparkSession, name)
+    df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -1430,6 +1431,29 @@ def promotion_breakdown(spark, sf):
     return ev.promotion_breakdown(fd.analyze(_logs(spark, sf)))
 
 
+@query(ORACLE["log_comparison"])
+def report_files(spark, sf):
+    """The log comparison as it is read back from the report files."""
+    logs, path = _stored(_logs(spark, sf), "logs"), scratch_path(spark, "reports")
+    reports.write_reports(logs, _stored(fd.analyze(logs), "findings"), _key(spark, sf), path)
+    rows = spark.read.option("header", True).option("emptyValue", "").csv(f"{path}/log_comparison")
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
+
+
+@query(
+    o.chain(*_DETS, select="""SELECT log_id, CASE WHEN event_id % 3 = 0 THEN false ELSE is_anomaly END AS is_anomaly, event_id % 3 = 0 AS rewritten,
+      us FROM dd""")
+)
+def reloaded_logs(spark, sf):
+    """Two batches of the processed table, the second one replacing every third log, loaded again."""
+    rows = dt.detect_scored(_scored_logs(spark, sf)).withColumn("rewritten", F.lit(False))
+    path = scratch_path(spark, "processed")
+    store.upsert_processed(rows, path, 0)
+    again = rows.where(F.col("arrival_seq") % 3 == 0).withColumns({"is_anomaly": F.lit(False), "rewritten": F.lit(True)})
+    store.upsert_processed(again, path, 1)
+    return store.load_processed(spark, path).select("log_id", "is_anomaly", "rewritten", _us().alias("us"))
+
+
 @query(
     o.chain(*_KEYS, select="""SELECT log_id, expected_type AS expected_legacy_type, expected_type IS NOT NULL AS expected_is_anomaly, subtype AS prompt_type, legacy AS legacy_type,
       confidence, coalesce(signals, '') AS signals, legacy IS NOT DISTINCT FROM expected_type AS matched FROM kx""")
