@@ -10,26 +10,27 @@ So members are told by their differences from what most of the group shares:
 
 * Where the sum isn't above zero they are linked whatever they differ in. All these links go over one member, the one
   of the least excess: if two satisfy it with each other, each of them does with that member.
-* Any other link needs a common difference, and as many of them as the excesses say. A member goes to buckets of its rarest
-  differences only, so many that two members with enough in common meet.
-
-C is first the set of a member that most others are like, then what more than half of a group has. At most half of such a
-group has any difference, so buckets are smaller groups of the same kind, and there is a last level. Members of one
-component aren't compared with each other. Where at most SMALL / 2 members of a group aren't in its anchor's component,
-these are compared with the others at once; so are the pairs of a bucket of at most SMALL members.
+* Any other link needs a common difference, and as many of them as the excesses say. A member goes to buckets of its first
+  differences only, so many that two members with enough in common meet: what is its own before what it lacks.
+
+A group of at most BLOCK members and TOKENS hashes is one block of a task's sparse product: C is what more than half of it
+has, and the common differences of a member with all others are counted by an index of who has which. Only links that join
+components are given out. A larger group is cut into buckets by difference: C is first the set of a member that most others
+are like, then what more than half of the group has. At most half of such a group has any difference, so there is a last
+level. Buckets whose members are in one component already are done.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentlog.llm.common import written
 from agentlog.llm.components import components
 
-SMALL = 16  # members of a bucket whose pairs may all be compared
+BLOCK, TOKENS = 4096, 1 << 20  # members and hashes (8 MB) that one task may take as a group
 BLOCKS = 8  # of hash space, in which the overlap of two sets is added up
 SENT = 1 << 21  # ids that may be broadcast: 16 MB
 
@@ -67,11 +68,12 @@ def _linked(percent: int):
 
 
 def _xor():
-    """A function column: elements of just one of two sets, sorted."""
+    """A function column: elements of just one of two sets, first those that the second one hasn't, each part sorted."""
 
     @F.arrow_udf("array<bigint>")
     def xor(a: pa.Array, b: pa.Array) -> pa.Array:
-        found = [np.setxor1d(x, np.unique(y)) for x, y in zip(_as_sets(a), _as_sets(b), strict=True)]
+        both = zip(_as_sets(a), _as_sets(b), strict=True)
+        found = [np.r_[np.setdiff1d(x, y), np.setdiff1d(y, x)] for x, y in both]
         ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -106,20 +108,18 @@ def _labelled(links: DataFrame) -> DataFrame:
     return written(components(links), "labels").select(F.col("node").alias("rep"), "label")
 
 
-def _apart(rows: DataFrame, others: DataFrame, on: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket. Rows (on, rep, n, label, odd, excess, left): of a pair one is
-    ``odd`` at least, and what the two have ``left`` to share is as much as their excesses ask for."""
-    names = {"rep": "b", "n": "nb", "label": "lb", "odd": "ob", "excess": "eb", "left": "rb"}
-    pairs = rows.join(others.select(on, *names).withColumnsRenamed(names), on).where((F.col("odd") | F.col("ob")) & (F.col("label") != F.col("lb")))
-    enough = 2 * (100 + percent) * F.least("left", "rb") >= F.col("excess") + F.col("eb")
-    pairs = pairs.where(enough & sizes_allow(F.col("n"), F.col("nb"), percent))
-    return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-
-
 def _excess(diff: str, percent: int) -> Column:
     return ((100 + percent) * F.size(diff) - (100 - percent) * F.col("n")).cast("bigint")
 
 
+def _least_shared(percent: int) -> Column:
+    """How many differences a member shares at least with whatever it is linked to: all but those that the two sets together
+    may have apart, (100 - percent) / (100 + percent) of their sizes' sum. The other's size is bounded by its own."""
+    n = F.col("n")
+    other = F.least(F.floor(100 * n / F.lit(percent)), F.col("most"))
+    return (F.size("diff") - F.floor((100 - percent) * (n + other) / F.lit(100 + percent))).cast("bigint")
+
+
 def _differences(members: DataFrame, percent: int) -> DataFrame:
     """(group, rep, n, base) as (group, rep, n, diff, excess): ``diff`` tells the base from what more than half of the
     group's bases have. Elements are counted on the map side first."""
@@ -131,70 +131,156 @@ def _differences(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _sub_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (bucket, group, rep, n, label, odd, excess, left, size): a group's members by difference, only where members of
-    several components meet, an odd one among them.
-
-    ``rows``: (group, rep, n, diff, excess, label, odd, low, odd_low), ``low`` and ``odd_low`` being the least excess of
-    all and of the odd ones. Two members that aren't both linked to the anchor share at least (their excesses' sum) /
-    2 (100 + percent) differences. In the order of frequency, the same for all members of a group, one of these is among
-    the first of either; ``left`` is how many are from there on.
+    """Rows (bucket, group, rep, n, label, size, tokens): a group's members by difference, only where members of several
+    components meet, an odd one among them.
+
+    ``rows``: (group, rep, n, diff, excess, least, label, odd, low, odd_low, odd_least), ``low`` and ``odd_low`` being the
+    least excess of all and of the odd ones. Two members that aren't both linked to the anchor share at least (their
+    excesses' sum) / 2 (100 + percent) differences, and what ``least`` says of either. Differences are in one order for all
+    members, what the group hasn't before what a member lacks of it. So one of those that two members share is among the
+    first of either.
     """
     partner = F.when(F.col("odd"), F.col("low")).otherwise(F.col("odd_low"))
-    needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / F.lit(2 * (100 + percent))))
-    own = ["group", "rep", "n", "label", "odd", "excess"]
-    rows = rows.withColumn("width", F.size("diff")).withColumn("reach", (F.col("width") - needed + 1).cast("bigint"))
-    tokens = written(rows.where("reach > 0").select(*own, "width", "reach", F.explode("diff").alias("token")), "differing")
-    often = tokens.groupBy("group", "token").agg(F.count("*").alias("often")).where("often > 1")
-    # What only one member has comes first in its order and needs no bucket.
-    mine = Window.partitionBy("group", "rep")
-    place = F.col("width") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "token"))
-    near = tokens.join(often, ["group", "token"]).withColumn("place", place).where("place <= reach")
+    by_excess = F.ceil((F.col("excess") + partner) / F.lit(2 * (100 + percent)))
+    needed = F.greatest(F.lit(1), by_excess, F.col("least"), F.when(~F.col("odd"), F.col("odd_least")))
+    own = ["group", "rep", "n", "label", "odd"]
+    rows = rows.withColumn("reach", (F.size("diff") - needed + 1).cast("int")).where("reach > 0")
+    tokens = rows.select(*own, F.size("diff").alias("width"), F.explode(F.slice("diff", 1, F.col("reach"))).alias("token"))
     name = F.md5(F.concat_ws("/", F.col("group"), F.col("token").cast("string")))
-    near = written(near.select(name.alias("bucket"), *own, (F.col("width") - F.col("place") + 1).alias("left")), "sharing")
+    near = written(tokens.select(name.alias("bucket"), *own, "width"), "sharing")
     use = near.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("odd").alias("some")
+        F.count("*").alias("size"), F.sum("width").alias("tokens"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("odd").alias("some")
     )
-    return written(near.join(use.where("x <> y AND some").select("bucket", "size"), "bucket"), "sub")
+    use = use.where("x <> y AND some").select("bucket", "size", "tokens")
+    return written(near.join(use, "bucket").drop("odd", "width"), "sub")
+
+
+class Block:
+    """A group's sets as an index, for counting what members have in common."""
+
+    def __init__(self, bases: list[np.ndarray], sizes: np.ndarray, percent: int):
+        m = len(bases)
+        lengths = np.array([len(b) for b in bases])
+        tokens, at = np.unique(np.concatenate([np.empty(0, np.uint64), *bases]), return_inverse=True)
+        row = np.repeat(np.arange(m), lengths)
+        common = np.flatnonzero(2 * np.bincount(at, minlength=len(tokens)) > m)
+        place = np.full(len(tokens), -1)
+        place[common] = np.arange(len(common))
+        inside = place[at] >= 0
+        has = np.zeros((m, len(common)), bool)
+        has[row[inside], place[at[inside]]] = True
+        lacking, lacked = np.nonzero(~has)
+        rows, columns = np.r_[row[~inside], lacking], np.r_[at[~inside], common[lacked]]
+        width = np.bincount(rows, minlength=m)
+        self.factor = 2 * (100 + percent)
+        self.excess = (100 + percent) * width - (100 - percent) * sizes
+        # Differences by member, and members by difference.
+        order = np.argsort(rows, kind="stable")
+        self.columns, self.ends = columns[order], np.r_[0, np.cumsum(width)]
+        order = np.argsort(columns, kind="stable")
+        self.rows = rows[order]
+        self.starts = np.r_[0, np.cumsum(np.bincount(columns, minlength=len(tokens)))]
+
+    def linked(self, x: int) -> np.ndarray:
+        """Whether each member is linked to member x."""
+        own = self.columns[self.ends[x] : self.ends[x + 1]]
+        own = own[self.starts[own + 1] - self.starts[own] > 1]
+        mates = [self.rows[self.starts[c] : self.starts[c + 1]] for c in own]
+        shared = np.bincount(np.concatenate([np.empty(0, np.int64), *mates]).astype(np.int64), minlength=len(self.excess))
+        return self.excess + self.excess[x] <= self.factor * shared
+
+
+def joining_links(bases: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join all that are linked. Members of the largest excess
+    come last in their component, so the anchor's component grows first and is then skipped."""
+    block = Block(bases, sizes, percent)
+    label = np.unique(labels, return_inverse=True)[1]
+    out = []
+
+    def join(x: int, near: np.ndarray) -> None:
+        for other in np.unique(label[near]):
+            if other != label[x]:
+                out.append((x, int(np.flatnonzero(near & (label == other))[0])))
+                label[label == other] = label[x]
+
+    anchor = int(block.excess.argmin())
+    join(anchor, block.linked(anchor))
+    for x in np.flatnonzero(label != label[anchor]):
+        if (label != label[x]).any() and label[x] != label[anchor]:
+            join(x, block.linked(x) & (label != label[x]))
+    return out
+
+
+def _solved(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each group; rows (group, rep, n, label, base), groups within bounds."""
+
+    def solve(group: pa.Table) -> pa.Table:
+        reps = group["rep"].to_numpy()
+        bases = _as_sets(group["base"].combine_chunks())
+        found = joining_links(bases, group["n"].to_numpy(), group["label"].to_numpy(), percent)
+        return pa.table({"a": pa.array([reps[x] for x, _ in found], pa.int64()), "b": pa.array([reps[y] for _, y in found], pa.int64())})
+
+    return members.groupBy("group").applyInArrow(solve, "a bigint, b bigint")
+
+
+def _within_bounds(size: str = "size", tokens: str = "tokens") -> Column:
+    return (F.col(size) <= BLOCK) & (F.col(tokens) <= TOKENS)
 
 
 def components_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rep, label): components of all links between bucket mates; who has no link is left out.
 
     ``rows`` is a written table (bucket, rep, n, copies) of buckets with several members, ``sets`` a written table (rep,
-    hashes) of sorted sets. First each bucket is a star around the member that has most copies. Buckets that this
-    brings into one component are done. Of the others small ones are compared; large ones of one centre go on together as
-    a group, see above.
+    hashes) of sorted sets. Each bucket is a star around the member that has most copies. What the stars connect is a
+    family; one within bounds is a block, so each of its sets goes to one task, once. In larger families the stars' links are
+    confirmed; buckets that this brings into one component are done, others of one centre go on together as a group.
     """
     one = F.struct("copies", -F.col("rep"))
     centres = rows.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), one).alias("c"), F.count("*").alias("size"))
     centres = centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.n").alias("nc"), "size")
     stars = written(rows.join(centres, "bucket"), "stars")
+    mates = stars.where(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    family = _labelled(mates.distinct()).withColumnRenamed("label", "family")
+    members = stars.select("rep", "n").distinct().join(family, "rep")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    members = written(members.join(sizes, "family"), "families")
+    bounded = members.where(_within_bounds())
+    own = _only(sets, bounded.select("rep"), bounded.count()).select("rep", F.col("hashes").alias("base"))
+    block = bounded.select(F.col("family").cast("string").alias("group"), "rep", "n", F.col("rep").alias("label")).join(own, "rep")
+    found = written(_solved(block, percent), "links")
+    large = members.where(~_within_bounds())
+    if large.isEmpty():
+        return _labelled(found)
+    stars = written(stars.join(large.select("rep"), "rep", "left_semi"), "stars")
     pairs = stars.where(F.col("rep") != F.col("centre")).where(sizes_allow(F.col("n"), F.col("nc"), percent))
     links = verified(pairs.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), sets, percent)
+    links = written(links.union(found), "links")
     labels = _labelled(links)
-    named = stars.where("size > 2").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = written(named, "members")
-    ends = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    named = written(named.join(ends, "bucket"), "divided")
-    if named.isEmpty():
+    # Members of one centre over all its buckets, which are often the same.
+    named = stars.where("size > 2").select("centre", "rep", "n").distinct().join(labels, "rep", "left")
+    named = written(named.withColumn("label", F.coalesce("label", "rep")), "members")
+    ends = named.groupBy("centre").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("tokens")
+    )
+    named = written(named.join(ends.where("x <> y").drop("x", "y"), "centre"), "groups")
+    n = named.count()
+    if not n:
         return labels
-    any_pair = {"odd": F.lit(True), "excess": F.lit(0), "left": F.lit(0)}
-    few = named.where((F.col("size") <= SMALL) & (F.col("rep") != F.col("centre"))).withColumns(any_pair)
-    links = links.union(verified(_apart(few, few.where(F.lit(True)), "bucket", percent).where("a < b"), sets, percent))
-    large = written(named.where(F.col("size") > SMALL).select("centre", "rep", "n").distinct(), "groups")
+    own = _only(sets, named.select("rep").distinct(), n).select("rep", F.col("hashes").alias("base"))
+    group = F.col("centre").cast("string").alias("group")
+    bounded = named.where(_within_bounds()).select(group, "rep", "n", "label").join(own, "rep")
+    links = written(links.union(_solved(bounded, percent)), "links")
+    large = named.where(~_within_bounds())
     if large.isEmpty():
         return _labelled(links)
-    n = large.count()
-    own = _only(sets, large.select("rep").distinct(), n).select("rep", F.col("hashes").alias("base"))
     centre = _only(sets, large.select(F.col("centre").alias("rep")).distinct(), n).select(F.col("rep").alias("centre"), F.col("hashes").alias("most"))
     diffs = large.join(own, "rep").join(centre, "centre").withColumn("diff", _xor()("base", "most"))
-    diffs = diffs.select(F.col("centre").cast("string").alias("group"), "rep", "n", "diff", _excess("diff", percent).alias("excess"))
-    diffs = written(diffs, "differences")
+    diffs = written(diffs.select(group, "rep", "n", "diff", _excess("diff", percent).alias("excess")), "differences")
     while True:
         anchors = diffs.groupBy("group").agg(
-            F.min("excess").alias("low"), F.min_by("rep", F.struct("excess", "rep")).alias("anchor")
+            F.min("excess").alias("low"), F.min_by("rep", F.struct("excess", "rep")).alias("anchor"), F.max("n").alias("most")
         )
-        diffs = written(diffs.join(anchors, "group"), "placed")
+        diffs = written(diffs.join(anchors, "group").withColumn("least", _least_shared(percent)).drop("most"), "placed")
         joined = diffs.where((F.col("excess") + F.col("low") <= 0) & (F.col("rep") != F.col("anchor")))
         links = written(links.union(joined.select(F.col("anchor").alias("a"), F.col("rep").alias("b")).distinct()), "links")
         labels = _labelled(links)
@@ -202,20 +288,16 @@ def components_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
         placed = diffs.join(labels, "rep", "left").join(main, "anchor", "left")
         placed = placed.withColumn("label", F.coalesce("label", "rep"))
         placed = placed.withColumn("odd", F.col("label") != F.coalesce("main", "anchor")).drop("main")
-        placed = written(placed.withColumn("left", F.size("diff")), "placed")
-        odd = placed.where("odd").groupBy("group").agg(F.count("*").alias("odds"), F.min("excess").alias("odd_low"))
-        placed = written(placed.join(odd, "group"), "open")
-        at_once = placed.where(F.col("odds") <= SMALL // 2)
-        found = verified(_apart(at_once.where("odd"), at_once, "group", percent), sets, percent)
-        links = links.union(found)
-        rest = placed.where(F.col("odds") > SMALL // 2)
-        if rest.isEmpty():
-            return _labelled(links)
-        sub = _sub_buckets(rest, percent)
-        small = sub.where(F.col("size") <= SMALL)
-        links = links.union(verified(_apart(small.where("odd"), small, "bucket", percent), sets, percent))
-        large = sub.where(F.col("size") > SMALL)
+        placed = written(placed, "placed")
+        odd = placed.where("odd").groupBy("group").agg(F.min("excess").alias("odd_low"), F.min("least").alias("odd_least"))
+        sub = _sub_buckets(placed.join(odd, "group"), percent)
+        if sub.isEmpty():
+            return labels
+        members = sub.join(diffs.select("group", "rep", F.col("diff").alias("base")), ["group", "rep"])
+        members = members.select(F.col("bucket").alias("group"), "rep", "n", "label", "base", "size", "tokens")
+        bounded = members.where(_within_bounds()).drop("size", "tokens")
+        links = written(links.union(_solved(bounded, percent)), "links")
+        large = members.where(~_within_bounds())
         if large.isEmpty():
             return _labelled(links)
-        members = large.select("bucket", "group", "rep", "n").join(diffs.select("group", "rep", F.col("diff").alias("base")), ["group", "rep"])
-        diffs = _differences(members.select(F.col("bucket").alias("group"), "rep", "n", "base"), percent)
+        diffs = _differences(large, percent)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from agentlog.llm import bloom, families
 from agentlog.llm.common import fresh, written
-from agentlog.llm.families import SMALL
 
 BINS, ROWS = 128, 4  # 32 bands of 4 bins: of pairs at a likeness of 0.8, one in 20 million shares no bucket
 WORDS_KEPT, LONGEST_KEPT = 500_000, 64
