@@ -7,32 +7,47 @@ index where it isn't.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agentlog.config import DEFAULT, Settings
+from agentlog.functions.lookups import stripped
 from agentlog.operators import signals, vectors
 from agentlog.operators.detect import baseline_ready, not_ready
 from agentlog.operators.normalize import as_logs, normalize_all
 from agentlog.operators.vectorindex import VectorIndex, nearest_indexed
-from agentlog.sources.jsonl import POSITION_BITS, line_position
-from agentlog.functions.lookups import stripped
+from agentlog.sources.jsonl import POSITION_BITS
 from agentlog.streaming import sessions
 
 Encoder = Callable[[DataFrame], DataFrame]
 
 
+def _stream_position():
+    """``jsonl.line_position`` for a stream, where Spark gives no row numbers: the task counts its rows."""
+
+    @F.arrow_udf("bigint")
+    def position(blocks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen = 0
+        for starts in blocks:
+            yield pa.array(starts.to_numpy(zero_copy_only=False) + np.arange(seen, seen + len(starts)), pa.int64())
+            seen += len(starts)
+
+    return position.asNondeterministic()  # so that it is called once a row
+
+
 def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, order: Column | None = None) -> DataFrame:
     """Lines of the text files that arrive in a folder: ``value``, ``source`` and ``arrival_seq``.
 
     ``order`` is a file's rank, below 2^21, from its ``source``; by default the last number in its name. Files have to
-    arrive in this order. Where records carry their own sequence, use that instead.
+    arrive in this order and not be compressed. Where records carry their own sequence, use that instead.
     """
     rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    rows = rows.select("value", F.input_file_name().alias("source"), line_position().alias("_at"))
+    rows = rows.select("value", F.input_file_name().alias("source"), _stream_position()("_metadata.file_block_start").alias("_at"))
     number = F.regexp_extract(F.substring_index("source", "/", -1), r"([0-9]+)[^0-9]*$", 1).try_cast("bigint")
     rank = F.coalesce(number if order is None else order, F.lit(0))
     return rows.select("value", "source", (F.shiftleft(rank.cast("bigint"), POSITION_BITS) + F.col("_at")).alias("arrival_seq"))

@@ -6,8 +6,6 @@ only attaches ``w`` and ``prev``; everything after it is the same column code th
 
 from __future__ import annotations
 
-import heapq
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,16 +25,14 @@ _PREV = "struct<us:bigint,neg_seq:bigint,log_id:string>"
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-IN_MEMORY = 20_000  # rows of a session and micro-batch that are sorted in memory; more are merged from the store
-PART = 1_000  # rows that are stored, read back and given out at a time
+PART = 1_000  # rows that are given out at a time
 
 
 class SessionState(StatefulProcessor):
     """Gives each row of a session what earlier rows left: ``w``, the last MCP rows, and ``prev``, the latest log.
 
-    The rows of a micro-batch come in pieces in no order. Up to IN_MEMORY rows are sorted and go into the store as a run,
-    in parts; at the end the runs are merged with one part of each in memory. So memory follows the number of
-    runs, not the number of rows.
+    The rows of a micro-batch come in pieces in no order and are sorted in memory; the source limits how many there are.
+    They are given out in parts.
     """
 
     def __init__(self, plain: list[str], n: int, ttl_ms: int | None):
@@ -45,39 +41,15 @@ class SessionState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", _element()[len("struct<") : -1].replace(":", " "), self.ttl_ms)
         self.latest = handle.getValueState("latest", "us bigint, neg_seq bigint, log_id string", self.ttl_ms)
-        self.runs = handle.getMapState("runs", "run int, part int", "rows binary")
-
-    def _stored(self, run: int, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values("arrival_seq", kind="stable")
-        for part, start in enumerate(range(0, len(rows), PART)):
-            self.runs.updateValue((run, part), (pickle.dumps(rows.iloc[start : start + PART]),))
-
-    def _read(self, run: int) -> Iterator[tuple]:
-        part = 0
-        while self.runs.containsKey((run, part)):
-            rows = pickle.loads(self.runs.getValue((run, part))[0])
-            self.runs.removeKey((run, part))
-            yield from ((row[0], run, row[1:]) for row in zip(rows["arrival_seq"], *(rows[c] for c in rows.columns)))
-            part += 1
 
     def _ordered(self, pieces: Iterator[pd.DataFrame]) -> tuple[list[str], Iterator[tuple]]:
         names = [*self.plain, "_record", "_us"]
-        held, size, run = [], 0, 0
+        held = []
         for piece in pieces:
             piece.columns = names  # those that are no identifiers come under other names
             held.append(piece)
-            size += len(piece)
-            if size >= IN_MEMORY:
-                self._stored(run, pd.concat(held))
-                held, size, run = [], 0, run + 1
-        if not run:
-            rows = pd.concat(held).sort_values("arrival_seq", kind="stable")
-            return names, zip(*(rows[c] for c in names))
-        if held:
-            self._stored(run, pd.concat(held))
-            run += 1
-        merged = heapq.merge(*(self._read(i) for i in range(run)), key=lambda r: r[:2])
-        return names, (row for _, _, row in merged)
+        rows = pd.concat(held).sort_values("arrival_seq", kind="stable")
+        return names, zip(*(rows[c] for c in names))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recent = [dict(zip(_FIELDS, r, strict=True)) for r in self.recent.get()]
@@ -121,8 +93,8 @@ def with_session_state(
     """Add ``w`` and ``prev`` to a stream.
 
     Rows of a micro-batch are taken in arrival order. State is kept in RocksDB, which is set for the session, as
-    the step needs it. ``ttl`` (such as ``"1 hour"``) forgets sessions that stay silent. A session of any size in one
-    micro-batch takes bounded memory, see ``SessionState``.
+    the step needs it. ``ttl`` (such as ``"1 hour"``) forgets sessions that stay silent. The size of a micro-batch, which
+    the source limits, bounds what one session brings into memory.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     tagged = rows.withColumn("_record", session.window_record() if window else F.lit(None).cast(_element()))

@@ -1,11 +1,11 @@
 """A stream cut into files gives what the batch gives."""
 
 import gzip
+import os
 
 from pyspark.sql import functions as F
 
 from agentlog.operators import findings as fd
-from agentlog.operators import vectors as ve
 from agentlog.plans import fromtables as ft
 from agentlog.plans.process import process_scored
 from agentlog.sources import jsonl, store
@@ -77,7 +77,9 @@ def as_files(spark, lines, path, parts=3):
     path.mkdir()
     for i in range(parts):
         part = rows[i * len(rows) // parts : (i + 1) * len(rows) // parts]
-        (path / f"part-{i:03d}.jsonl").write_text("\n".join(part) + "\n")
+        file = path / f"part-{i:03d}.jsonl"
+        file.write_text("\n".join(part) + "\n")
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # a stream takes files in the order of their times
 
 
 def known(df, columns):
@@ -101,44 +103,6 @@ def test_stream_from_raw_lines_equals_batch(spark, tmp_path):
     assert got == {(r.arrival_seq, r.raw, tuple(r.errors)) for r in quarantine.collect()} and len(got) > 50
 
 
-def test_stream_is_scored_against_a_static_baseline(spark, tmp_path):
-    as_files(spark, raw_lines(spark), tmp_path / "in")
-    logs, bad = ingest.split_lines(jsonl.read_lines(spark, str(tmp_path / "in")))
-    encoded = ve.vectorize(logs.where("arrival_seq % 3 = 0").withColumn("id", F.col("arrival_seq").cast("string")))
-    baseline = encoded.select("id", "embedding").limit(400).cache()
-    assert baseline.count() == 400
-    stream = ingest.line_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    for q in ingest.ingest(stream, str(tmp_path / "table"), str(tmp_path / "bad"), baseline, str(tmp_path / "c")):
-        q.awaitTermination()
-    got = store.current_rows(spark, str(tmp_path / "table"))
-    want = process_scored(ingest.scored_logs(logs, baseline))
-    rounded = [F.round("anomaly_score", 6).alias("s"), "is_anomaly", "classification.anomaly_type"]
-    assert known(got, rounded) == known(want, rounded)
-    assert {r.s for r in got.select(*rounded).distinct().collect()} > {0.0}
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == bad.count()
-    # Too small a baseline: everything is normal.
-    few, _ = ingest.processed_lines(stream, baseline.limit(5))
-    sessions.upsert_stream(few, str(tmp_path / "few"), str(tmp_path / "c3")).awaitTermination()
-    assert store.current_rows(spark, str(tmp_path / "few")).where("is_anomaly").isEmpty()
-
-
-def test_a_large_session_is_merged_from_the_store(spark, tmp_path, monkeypatch):
-    """One session in one micro-batch, many times what is sorted in memory, in no order."""
-    monkeypatch.setattr(sessions, "IN_MEMORY", 300)
-    monkeypatch.setattr(sessions, "PART", 50)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        logs = ft.agent_logs(ft.read(spark, SF, "events"), shuffled=True).withColumn("session_id", F.lit("one"))
-        stream = cut(spark, logs.orderBy(F.rand(3)), str(tmp_path / "in"), "arrival_seq", parts=1)
-        found, _ = sessions.stream_findings(stream, ttl="1 hour")
-        drain(found, str(tmp_path / "out"), str(tmp_path / "c"))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    columns = ["subtype", "confidence", "correlated_log_ids", "context_rule_ids"]
-    want = fd.to_findings(fd.judged_rows(logs).drop("back_links"))
-    assert known(spark.read.parquet(str(tmp_path / "out")), columns) == known(want, columns) and logs.count() > 900
-
-
 def test_line_numbers_follow_files_and_lines(spark, tmp_path):
     folder = tmp_path / "a b%"
     folder.mkdir()
