@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlog.llm import exact, langid, minhash, mixture, pieces
-from agentlog.llm.common import table, written
+from agentlog.llm.common import small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,7 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be determined go; those without one get the predicted one."""
     model = langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))))
-    return langid.with_known_language(docs, model, lang="lang")
+    with small_batches(spark):
+        return written(langid.with_known_language(docs, model, lang="lang"), "known")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of each text."""
     encoded = pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.select("doc_id", "source", "ids", *pieces.digests(encoded))
+    with small_batches(spark):
+        return written(encoded.select("doc_id", "source", "ids", *pieces.digests(encoded)), "encoded")
 
 
 STAGES: list[tuple[str, Stage]] = [

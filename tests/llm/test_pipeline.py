@@ -23,6 +23,16 @@ def test_all_are_registered():
     assert set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
 
 
+def test_stages_that_send_texts_to_python_do_so_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, inner = spark.conf.get(key), {}, corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name: seen.setdefault(name, int(spark.conf.get(key))) and inner(df, name))
+    docs = spark.createDataFrame([(1, "a", "the thing", "en"), (2, "a", "das Ding", "de")], "doc_id long, source string, text string, lang string")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["language_id"](spark, docs, SF).count() == stages["sentencepiece"](spark, docs, SF).count() == 2
+    assert len(seen) == 2 and max(seen.values()) <= 1000 and spark.conf.get(key) == before
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {}
