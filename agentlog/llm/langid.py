@@ -173,8 +173,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.StructArray.from_arrays(columns, ["lang", "score"])
 
-    # Texts without letters go as NULL.
-    judged = predicted(F.when(has_letters(F.col(text)), F.col(text)))
+    # Texts without letters go as NULL. A filter on the result must not call the function once more, in workers of its own.
+    judged = predicted.asNondeterministic()(F.when(has_letters(F.col(text)), F.col(text)))
     kept = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
     both = fresh(docs, "_judged")
     return docs.withColumn(both, judged).select(*kept, F.col(both)["lang"].alias(lang), F.col(both)["score"].alias(score))

@@ -29,7 +29,8 @@ WORDS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 200_000, 40, 1_000_000
 class Codec:
     """Encodes and decodes with one model, given as the bytes of its file.
 
-    Words met lately and pairs of pieces tested are kept to save time, up to a number of each.
+    Words met lately and pairs of pieces tested are kept to save time, up to a number of each. Of a word only its ids are
+    kept, as what is decoded from them is the word; one that decoded to something else would be worked out each time.
     """
 
     def __init__(self, model: bytes):
@@ -49,8 +50,8 @@ class Codec:
         self.automaton.add_word(SPACE, (self.id[SPACE], 1))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         # Words start at spaces. A newline without a piece of its own never merges, so words also end there.
         self.units = re.compile(r" +[^ ]*|[^ ]+" if "\n" in self.id else r"\n+| +[^ \n]*|[^ \n]+")
 
@@ -128,15 +129,15 @@ class Codec:
         return [self.id[p] for p in self._merged(SPACE * spaces)] + ids[1:] if ids[0] == self.id[SPACE] else ids
 
     def _known(self, unit: str) -> tuple[bytes, str]:
-        out = self.old_words.get(unit)
-        if out is None:
-            ids = self._unit(unit)
-            out = array("i", ids).tobytes(), self._spelled(ids)
-        if len(unit) <= LONGEST_KEPT:
+        ids, decoded = self.old_words.get(unit), unit
+        if ids is None:
+            found = self._unit(unit)
+            ids, decoded = array("i", found).tobytes(), self._spelled(found)
+        if len(unit) <= LONGEST_KEPT and decoded == unit:
             if len(self.words) >= WORDS_KEPT:
                 self.old_words, self.words = self.words, {}
-            self.words[unit] = out
-        return out
+            self.words[unit] = ids
+        return ids, decoded
 
     def _spelled(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
@@ -154,7 +155,8 @@ class Codec:
         """The ids as 32-bit integers, and the text decoded from them."""
         if not text:
             return b"", ""
-        parts = [self.words.get(u) or self._known(u) for u in self.units.findall(" " + text.replace(SPACE, " "))]
+        units = self.units.findall(" " + text.replace(SPACE, " "))
+        parts = [(ids, u) if (ids := self.words.get(u)) else self._known(u) for u in units]
         return b"".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]
 
     def decode(self, ids: list[int]) -> str:

@@ -125,6 +125,22 @@ def test_codec_on_odd_texts():
         assert list(memoryview(codec.encoded(text)[0]).cast("i")) == lib.encode(text)
 
 
+def test_codec_keeps_little_of_each_word():
+    import tracemalloc
+
+    with open(MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
+    text = " ".join(hashlib.sha256(b"%d" % i).hexdigest()[:8] for i in range(20_000))
+    codec.encoded(text[: len(text) // 2])  # tests most pairs of pieces
+    before = len(codec.words)
+    tracemalloc.start()
+    codec.encoded(text)
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert grown < 220 * (len(codec.words) - before)  # bytes
+    assert len(codec.words) == 20_000
+
+
 def test_pseudonyms(spark, docs):
     import re
 

@@ -6,7 +6,7 @@ import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from agentlog.llm import queries
+from agentlog.llm import langid, queries
 from tests.compare import compare, connect
 from tests.llm.test_operators import brute_components, lower, targets
 
@@ -33,6 +33,13 @@ def test_stages_that_send_texts_to_python_do_so_in_small_batches(spark, monkeypa
     assert len(seen) == 2 and max(seen.values()) <= 1000 and spark.conf.get(key) == before
 
 
+def test_languages_are_predicted_once(spark):
+    docs = spark.createDataFrame([(1, "a", "the thing", "en"), (2, "a", "das Ding", None)], "doc_id long, source string, text string, lang string")
+    known = langid.with_known_language(docs, langid.Model(), lang="lang")
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {}
