@@ -28,6 +28,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scores_of_logs_are_computed_once(spark, tables):
+    scored = registry._scored_logs(spark, tables)
+    assert "ArrowEvalPython" not in plan(scored) and scored.where("score > 0").count() == 60
+
+
 def test_vectors_of_logs_are_computed_once(spark, tables):
     logs = spark.range(500).select(F.col("id").alias("arrival_seq"))
     out = registry._with_vectors(spark, tables, logs)
