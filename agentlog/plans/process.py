@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from agentlog.config import DEFAULT, Settings
@@ -13,8 +13,9 @@ from agentlog.operators import classify as cl
 from agentlog.operators import findings as fd
 from agentlog.operators import graph
 from agentlog.operators.detect import detect, detect_scored
-from agentlog.operators.normalize import as_logs, normalize_all
+from agentlog.operators.normalize import as_logs, check_all, normalize_all
 from agentlog.operators.vectors import vectorize
+from agentlog.sources.scratch import scratch_path
 
 
 def process(
@@ -61,12 +62,14 @@ def analyze_raw_group(
 
     Records that can't be normalized are kept as ``arrival_seq, raw, errors``; the others are analysed as a group. The
     summary has one row: logs, failures, anomalies, their density in percent, and anomalies per type as type -> count.
-    ``encode`` adds the ``embedding`` that the baseline is searched with.
+    ``encode`` adds the ``embedding`` that the baseline is searched with. The failures are a table, written by the one scan of
+    the records that also counts the protocols, which decide how the others are analysed.
     """
-    checked = normalize_all(raw)
-    bad = F.size("errors") > 0
-    failures = checked.where(bad).select("arrival_seq", "raw", "errors")
-    rows = analyze_group(encode(as_logs(checked.where(~bad))), baseline, cfg)
+    bad, counts, path = F.size("errors") > 0, Observation(), scratch_path(raw.sparkSession, "failures")
+    seen = check_all(raw).observe(counts, *[F.count_if(~bad & c).alias(n) for n, c in _protocol_counts().items()])
+    seen.where(bad).select("arrival_seq", "raw", "errors").write.option("compression", "zstd").parquet(path)
+    failures = raw.sparkSession.read.parquet(path)
+    rows = analyze_group(encode(as_logs(normalize_all(raw).where(~bad))), baseline, cfg, dict(counts.get))
     kinds = rows.where("is_anomaly").groupBy(F.coalesce("anomaly_type", F.lit("UNKNOWN")).alias("type"))
     kinds = kinds.agg(F.count(F.lit(1)).alias("n"))
     by_type = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
@@ -78,16 +81,21 @@ def analyze_raw_group(
     return rows, failures, summary
 
 
+def _protocol_counts() -> dict[str, Column]:
+    """What is counted of a group of logs: all, and those of MCP."""
+    return {"n": F.lit(True), "mcp": F.upper("protocol") == fixed.MCP}
+
+
 def analyze_group(
-    logs: DataFrame, baseline: DataFrame | None = None, cfg: Settings = DEFAULT
+    logs: DataFrame, baseline: DataFrame | None = None, cfg: Settings = DEFAULT, counts: dict[str, int] | None = None
 ) -> DataFrame:
     """Group analysis: session findings when every log is MCP, else detection and classification row by row.
 
-    One row per log with ``is_anomaly``, ``anomaly_type``, ``anomaly_score``, ``root_cause_log_id`` and ``reason``.
+    One row per log with ``is_anomaly``, ``anomaly_type``, ``anomaly_score``, ``root_cause_log_id`` and ``reason``. ``counts``
+    are those of ``_protocol_counts`` where they are known.
     """
-    counts = logs.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.upper("protocol") == fixed.MCP).alias("mcp")
-    ).first()
+    if counts is None:
+        counts = logs.agg(*[F.count_if(c).alias(n) for n, c in _protocol_counts().items()]).first()
     if counts["n"] and counts["n"] == counts["mcp"]:
         return fd.join_findings(logs, fd.analyze(logs, cfg))
     judged = cl.classify(detect(logs, baseline, cfg)).drop("anomaly_type_label")

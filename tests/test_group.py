@@ -45,6 +45,30 @@ def test_a_group_of_one_protocol_is_analysed_by_session(spark):
     assert summary.first().anomalies == rows.where("is_anomaly").count() > 0
 
 
+def test_records_are_read_once_for_failures_and_counts(spark):
+    mcp, a2a = raw(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    every = mcp.unionByName(a2a)
+    none = spark.createDataFrame([], "id string, embedding array<float>")
+    _, failures, _ = pr.analyze_raw_group(every.withColumn("raw", counted("raw")), none)
+    assert failures.count() > 50 and reads.value == every.count()
+
+
+def test_checks_alone_equal_those_of_the_whole(spark):
+    mcp, a2a = raw(spark)
+    odd = spark.createDataFrame([(-1, None), (-2, "7"), (-3, "{"), (-4, '{"protocol":"mcp"}'), (-5, '{"protocol":null}')], "arrival_seq long, raw string")
+    every = mcp.unionByName(a2a).unionByName(odd)
+    for strict in (False, True):
+        one, other = nz.check_all(every, strict), nz.normalize_all(every, strict).select("arrival_seq", "raw", "protocol", "errors")
+        assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
 def test_an_empty_group(spark):
     mcp, _ = raw(spark)
     none = spark.createDataFrame([], "id string, embedding array<float>")
